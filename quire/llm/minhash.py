@@ -133,7 +133,7 @@ def _links(docs: DataFrame, classes: DataFrame, m: int, percent: int, words: int
     sets = written(_candidate_sets(docs, candidates, words), "candidate-sets")
 
     # Shingles that only one candidate has can't be shared: they bound every similarity of that candidate.
-    items = sets.select("c", F.explode(F.transform("items", lambda x: x.cast("int"))).alias("item"))
+    items = sets.select("c", F.explode(F.transform("items", lambda x: F.shiftright(x, 32).cast("int"))).alias("item"))
     single = items.groupBy("item").agg(F.count("*").alias("k"), F.min("c").alias("c")).where("k = 1").groupBy("c").agg(F.count("*").alias("alone"))
     bounded = sets.select("c", "n", "parity").join(single, "c", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     bounded = written(bounded.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "bounded")

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import slices, texts
 from .common import written
@@ -98,7 +99,7 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs_each: int = 6, penalt
 
 def with_features(docs: DataFrame, column: str) -> DataFrame:
     """docs with the features of its text in a new column; all other columns pass through."""
-    schema = docs.schema.add(column, "array<double>")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:

@@ -4,23 +4,39 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, token_shards
-from .common import documents_in
+from . import byte_bpe, lattice, minhash, quality, token_shards
+from .common import documents_in, held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
+#: The share of a union that links two documents, in percent.
+NEAR_PERCENT = 85
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(documents_in(spark, sf_dir), WORD_BPE, END_ID)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents_in(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out(F.col("doc_id"), 4, 2))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents_in(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(documents_in(spark, sf_dir), PIECES, held_out(F.col("doc_id"), 5, 1))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents_in(spark, sf_dir), NEAR_PERCENT)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
