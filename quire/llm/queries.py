@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lattice, minhash, quality, token_shards
+from . import byte_bpe, lattice, minhash, packing, quality, suffix_dedup, token_shards
 from .common import documents_in, held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents_in(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out(F.col("doc_id"), 4, 2))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents_in(spark, sf_dir), 200)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents_in(spark, sf_dir), WORD_BPE, END_ID, 4096)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents_in(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
