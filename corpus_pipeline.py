@@ -1,11 +1,55 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again before the next stage. All but
+the last keep the columns of documents. An empty table passes through every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import minhash, packing, quality, suffix_dedup, surrogates
+from quire.llm.common import documents_in, held_out, written
+from quire.llm.queries import END_ID, NEAR_PERCENT, WORD_BPE
+from quire.session import ready
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    ready(spark)
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out(F.col("doc_id"), 4, 2))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    ready(spark)
+    return minhash.without_near_duplicates(docs, NEAR_PERCENT)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of passages of 200 bytes and more."""
+    ready(spark)
+    return suffix_dedup.without_later_copies(docs, 200)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data."""
+    return surrogates.replaced(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    ready(spark)
+    return packing.packed(docs, WORD_BPE, END_ID)
+
+
+STAGES = [("quality", good), ("near_duplicates", distinct), ("repeated_passages", unrepeated), ("surrogates", private), ("packing", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents_in(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
