@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import minhash, packing, quality, suffix_dedup, surrogates
 from quire.llm.common import documents_in, held_out, written
-from quire.llm.queries import END_ID, NEAR_PERCENT, WORD_BPE
+from quire.llm.queries import END_ID, WORD_BPE
 from quire.session import ready
 
 
@@ -22,9 +22,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: a similarity of 0.8 and more on five-word shingles."""
     ready(spark)
-    return minhash.without_near_duplicates(docs, NEAR_PERCENT)
+    return minhash.without_near_duplicates(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
