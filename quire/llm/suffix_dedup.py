@@ -31,14 +31,16 @@ from .common import written
 from .shingles import mixed
 
 GRAM = 48
+#: Windows that are looked at together, by the bytes that all of them hold.
+STEP = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def regions(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor hash of every run of windows with one anchor."""
+def regions(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, anchor hash and anchor place of every run of windows with one anchor."""
     n = len(data) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     h = np.zeros(len(data) - gram + 1, np.uint64)
     # Grams by doubling: a hash of 2k bytes joins two hashes of k bytes.
@@ -61,22 +63,18 @@ def regions(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.
     # Leftmost place of the least hash: the next gram that equals it, seen from the window's start.
     starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     ends = np.append(starts[1:], n)
-    firsts, counts, hashes = [], [], []
+    found = []
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        value = low[a]
-        if b - a <= 1:
-            firsts.append(a), counts.append(b - a), hashes.append(value)
-            continue
-        places = np.flatnonzero(h[a : b - 1 + width] == value) + a
         begin = a
-        for p in places.tolist():
+        for p in (np.flatnonzero(h[a : b - 1 + width] == low[a]) + a).tolist():
             if begin >= b:
                 break
             stop = min(b, p + 1)
             if stop > begin:
-                firsts.append(begin), counts.append(stop - begin), hashes.append(value)
+                found.append((begin, stop - begin, p))
                 begin = stop
-    return np.array(firsts, np.int64), np.array(counts, np.int64), np.array(hashes, np.uint64)
+    first, count, place = np.array(found, np.int64).reshape(-1, 3).T
+    return first, count, low[first], place
 
 
 def _digest(data) -> int:
@@ -84,23 +82,37 @@ def _digest(data) -> int:
 
 
 def _marks(rows: DataFrame, length: int) -> DataFrame:
-    """uid, h (anchor), r (hash of the region's bytes), s (first window), n (windows) of every region."""
+    """uid, h (anchor), r (hash of the region's bytes), s (first window), n (windows), p (anchor's place) of every region."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "data"):
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 for uid, data in zip(part.column("uid").to_pylist(), part.column("data").to_pylist(), strict=True):
-                    s, n, h = regions(data, length)
+                    s, n, h, p = regions(data, length)
                     view = memoryview(data)
                     out[0].append(np.full(len(s), uid, np.int64))
                     out[1].append(h.view(np.int64))
                     out[2].append(np.fromiter((_digest(view[a : a + k - 1 + length]) for a, k in zip(s.tolist(), n.tolist(), strict=True)), np.int64, len(s)))
                     out[3].append(s)
-                    out[4].append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["uid", "h", "r", "s", "n"])
+                    out[4].append(n.astype(np.int32))
+                    out[5].append((p - s).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["uid", "h", "r", "s", "n", "p"])
 
-    return rows.select("uid", "data").mapInArrow(run, "uid long, h long, r long, s long, n long")
+    return rows.select("uid", "data").mapInArrow(run, "uid long, h long, r long, s long, n int, p int")
+
+
+def blocks(s: int, n: int, p: int, length: int, step: int = STEP):
+    """(first window, windows, core from, core to): the windows of a region cut at multiples of step before its anchor.
+
+    All windows of such a block hold the block's core, and equal windows of two regions lie in blocks with equal cores.
+    """
+    k = s
+    while k < s + n:
+        number = (p - k) // step
+        past = min(s + n, p - number * step + 1)
+        yield k, past - k, p - number * step, p - (number + 1) * step + 1 + length
+        k = past
 
 
 def repeats(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -110,15 +122,31 @@ def repeats(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """
     marks = written(_marks(rows, length), "regions")
     place = F.struct("uid", "s")
-    same = marks.groupBy("h", "r").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
-    same = written(same, "equal-regions")
-    shared = same.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).where(F.col("all") > 1)
-    known = same.join(shared.select("h", "kinds"), "h")
-    found = written(marks.join(known, ["h", "r"]).select("uid", "s", "n", "copies", "kinds", (place == F.col("first")).alias("is_first")), "shared-regions")
+    shared = marks.groupBy("h").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("h")
+    near = written(marks.join(shared, "h"), "shared-anchors")
+    same = written(near.groupBy("h", "r").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "equal-regions")
+    kinds = same.groupBy("h").agg(F.count("*").alias("kinds"))
+    found = written(near.join(same.join(kinds, "h"), ["h", "r"]).select("uid", "s", "n", "p", "copies", "kinds", (place == F.col("first")).alias("is_first")), "shared-regions")
     whole = found.where("copies > 1 and not is_first") if keep_first else found.where("copies > 1")
-    # One of each kind of region is looked at window by window, against the other kinds of its anchor.
+    # One of each kind of region is looked at, block by block, against the other kinds of its anchor.
     look = found.where("kinds > 1 and (copies = 1 or is_first)")
-    todo = look.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("look"))
+    todo = look.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "n", "p"))).alias("look"))
+
+    def cores(batches):
+        for batch in batches:
+            for part in slices(batch, "data"):
+                out = []
+                for uid, data, runs in zip(part.column("uid").to_pylist(), part.column("data").to_pylist(), part.column("look").to_pylist(), strict=True):
+                    view = memoryview(data)
+                    for run in runs:
+                        place = run["s"] + run["p"]
+                        out += [(uid, k, m, _digest(bytes(((place - a) & 255, (place - a) >> 8 & 255)) + bytes(view[a:b]))) for k, m, a, b in blocks(run["s"], run["n"], place, length)]
+                columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], ["uid", "s", "n", "core"])
+
+    cored = written(rows.join(todo, "uid").select("uid", "data", "look").mapInArrow(cores, "uid long, s long, n int, core long"), "block-cores")
+    twice = cored.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    todo = cored.join(twice, "core").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("look"))
 
     def windows(batches):
         for batch in batches:
