@@ -37,7 +37,7 @@ def sample(term: str, log_weight: str, k: int) -> Column:
     t = F.floor(F.col(log_weight) / r + b)
     value = F.log(c) - r * (t - b) - r
     place = F.floor(F.least(F.greatest((value + 200) * F.lit(2.0**32), F.lit(0.0)), F.lit(2.0**42)))
-    return F.shiftleft(place, _MARK).bitwiseOR(F.xxhash64(F.col(term), t).bitwiseAND(F.lit((1 << _MARK) - 1)))
+    return F.shiftleft(place, _MARK).bitwiseOR(F.shiftrightunsigned(F.col(term), k % 40).bitwiseXOR(t).bitwiseAND(F.lit((1 << _MARK) - 1)))
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
