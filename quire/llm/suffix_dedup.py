@@ -122,11 +122,13 @@ def repeats(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """
     marks = written(_marks(rows, length), "regions")
     place = F.struct("uid", "s")
-    shared = marks.groupBy("h").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("h")
+    # Written apart from the join, so that Spark can split the rows of a hot anchor over tasks.
+    shared = written(marks.groupBy("h").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("h"), "repeated-anchors")
     near = written(marks.join(shared, "h"), "shared-anchors")
     same = written(near.groupBy("h", "r").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "equal-regions")
     kinds = same.groupBy("h").agg(F.count("*").alias("kinds"))
-    found = written(near.join(same.join(kinds, "h"), ["h", "r"]).select("uid", "s", "n", "p", "copies", "kinds", (place == F.col("first")).alias("is_first")), "shared-regions")
+    known = written(same.join(kinds, "h"), "known-regions")
+    found = written(near.join(known, ["h", "r"]).select("uid", "s", "n", "p", "copies", "kinds", (place == F.col("first")).alias("is_first")), "shared-regions")
     whole = found.where("copies > 1 and not is_first") if keep_first else found.where("copies > 1")
     # One of each kind of region is looked at, block by block, against the other kinds of its anchor.
     look = found.where("kinds > 1 and (copies = 1 or is_first)")
