@@ -23,8 +23,12 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iter
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The column as large strings without nulls."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The column as large strings without nulls, in buffers of its own.
+
+    Some string kernels read a slice's text from the start of the buffer it shares, so a slice is copied first.
+    """
+    own = batch.column(column).take(pa.array(np.arange(batch.num_rows)))
+    return pc.fill_null(own.cast(pa.large_string()), "")
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
