@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import evaluation_queries
 from .operators import catalog, chunks, objects, structure
 from .sources.tables import CANDIDATES_SQL, ORDER_ELEMENTS_SQL, TURNS_SQL, candidates, order_elements, table, turns
 
@@ -110,7 +111,7 @@ _REGISTRY = {
     "apply_patches": (_patched, f"SELECT doc_id, CASE status WHEN 'failed' THEN 'retry ' || title ELSE title END AS title, doc_type, status FROM ({_CATALOG_SQL})"),
     "delete_documents": (lambda s, d: catalog.delete_documents(_catalog(s, d), table(s, d, "labels").where("toxic = 1")).select("doc_id", "title"), f"SELECT doc_id, title FROM ({_CATALOG_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
     "latest_status": (lambda s, d: catalog.latest_status(_log(s, d)), f"SELECT doc_id, arg_max(status, ts) AS status, max(ts) AS ts, arg_max(status, ts) IN ('pending', 'uploaded', 'parsing', 'extracting') AS active FROM ({_LOG_SQL}) GROUP BY doc_id"),
-}
+} | evaluation_queries.REGISTRY
 
 
 def queries() -> dict:
