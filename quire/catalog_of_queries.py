@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import evaluation_queries
-from .operators import catalog, chunks, objects, structure
+from .operators import catalog, chunks, inference, objects, structure
 from .sources.tables import CANDIDATES_SQL, ORDER_ELEMENTS_SQL, TURNS_SQL, candidates, order_elements, table, turns
 
 MAX_CHARS, OVERLAP = 1000, 300
@@ -89,6 +89,26 @@ def _patched(spark, sf):
     return catalog.apply_patches(docs, new).select("doc_id", "title", "doc_type", "status")
 
 
+def _outline(spark, sf):
+    return inference.document_outline(turns(spark, sf))
+
+
+def _merged_fields(spark, sf):
+    found = inference.merge_document_fields(candidates(spark, sf), "description", "name")
+    return found.select("doc_id", "description", F.array_join("names", "|").alias("names"))
+
+
+def _fallback(spark, sf):
+    final = _objects(spark, sf).where("doc_id % 3 = 0").select("doc_id", "slot", "name", "description")
+    return inference.finalizer_fallback(final, candidates(spark, sf).select("doc_id", "slot", "name", "description"))
+
+
+def _patched_objects(spark, sf):
+    found = _objects(spark, sf).select("doc_id", "slot", "object_id", "name", "description")
+    fixed = found.where("doc_id % 4 = 1").select("doc_id", "slot", "object_id", F.concat(F.lit("fixed "), "name").alias("name"), F.lit(None).cast("string").alias("description"))
+    return inference.patch_objects(found, fixed, ("name", "description"))
+
+
 _REGISTRY = {
     "explode_lines": (lambda s, d: structure.explode_lines(table(s, d, "documents")), f"SELECT doc_id, i AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM ({_LINES_SQL}))"),
     "build_elements": (_elements, _ELEMENTS_SQL),
@@ -111,6 +131,14 @@ _REGISTRY = {
     "apply_patches": (_patched, f"SELECT doc_id, CASE status WHEN 'failed' THEN 'retry ' || title ELSE title END AS title, doc_type, status FROM ({_CATALOG_SQL})"),
     "delete_documents": (lambda s, d: catalog.delete_documents(_catalog(s, d), table(s, d, "labels").where("toxic = 1")).select("doc_id", "title"), f"SELECT doc_id, title FROM ({_CATALOG_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
     "latest_status": (lambda s, d: catalog.latest_status(_log(s, d)), f"SELECT doc_id, arg_max(status, ts) AS status, max(ts) AS ts, arg_max(status, ts) IN ('pending', 'uploaded', 'parsing', 'extracting') AS active FROM ({_LOG_SQL}) GROUP BY doc_id"),
+    "document_outline": (lambda s, d: _outline(s, d).select("doc_id", F.array_join("sections", "|").alias("sections"), F.array_join("main_topics", "|").alias("main_topics")), f"SELECT doc_id, string_agg(section, '|' ORDER BY o) AS sections, string_agg(section, '|' ORDER BY o) AS main_topics FROM (SELECT doc_id, section, min(ord) AS o FROM ({TURNS_SQL}) GROUP BY ALL) GROUP BY doc_id"),
+    "summary_inputs": (lambda s, d: inference.summary_inputs(table(s, d, "documents"), inference.document_outline(_elements(s, d))), f"SELECT d.doc_id, substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 12000) AS text, CASE WHEN e.doc_id IS NOT NULL THEN '{{\"sections\":[\"' || source || '\"],\"main_topics\":[\"' || source || '\"]}}' END AS outline FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_ELEMENTS_SQL})) e ON d.doc_id = e.doc_id"),
+    "normalize_enums": (lambda s, d: table(s, d, "orders").select("o_orderkey", inference.normalized_enum(F.regexp_replace("o_orderpriority", r"^\d-", " "), inference.PRIORITIES, "medium").alias("priority")), "SELECT o_orderkey, CASE WHEN lower(o_orderpriority) LIKE '%-high' THEN 'high' WHEN lower(o_orderpriority) LIKE '%-low' THEN 'low' ELSE 'medium' END AS priority FROM orders"),
+    "finalizer_fallback": (_fallback, f"SELECT doc_id, slot, name, description FROM ({_OBJECTS_SQL}) WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, slot, name, description FROM ({CANDIDATES_SQL}) WHERE doc_id % 3 <> 0"),
+    "merge_document_fields": (_merged_fields, f"SELECT * FROM (SELECT doc_id, arg_max(description, length(description) * 1000000 - seq) AS description FROM ({CANDIDATES_SQL}) GROUP BY doc_id) JOIN (SELECT doc_id, string_agg(name, '|' ORDER BY o) AS names FROM (SELECT doc_id, name, min(seq) AS o FROM ({CANDIDATES_SQL}) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)"),
+    "first_evidence": (lambda s, d: inference.first_evidence(_bound(s, d)), f"SELECT doc_id, object_id, element_id, text_span FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY object_id, element_id) AS n FROM ({_BOUND_SQL})) WHERE n = 1"),
+    "patch_objects": (_patched_objects, f"SELECT doc_id, slot, object_id, CASE WHEN doc_id % 4 = 1 THEN 'fixed ' || name ELSE name END AS name, description FROM ({_OBJECTS_SQL})"),
+    "retry_selection": (lambda s, d: inference.retry_selection(_catalog(s, d), _elements(s, d).where("doc_id % 2 = 0")), f"SELECT doc_id, doc_type, NOT (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM ({_ELEMENTS_SQL}))) AS rebuild FROM ({_CATALOG_SQL}) WHERE doc_type IN ('srs', 'api') AND trim(raw_text) <> ''"),
 } | evaluation_queries.REGISTRY
 
 
