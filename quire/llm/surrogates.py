@@ -1,9 +1,9 @@
 """Surrogates for personal data: every detected entity gives way to a keyed one of the same type, format, script and gender.
 
 Numbers go through a keyed permutation of all numbers of their length (a balanced Feistel network), so distinct ones stay
-distinct; addresses, tokens and names take keyed hashes. `keyed` checks that no two entities of the table share a
-surrogate and that no surrogate is itself an entity, and takes the next key where one does. One entity has one
-surrogate wherever it stands. Only DataFrame functions are used.
+distinct; addresses, tokens and names take keyed hashes. No two entities of the table share a surrogate and no surrogate
+is itself an entity: `exceptions` finds the entities for which the first key does not give that and takes the next keys
+for them alone. One entity has one surrogate wherever it stands. Only DataFrame functions are used.
 
 Null texts stay null and have no entities. Repeated rows get equal texts. All columns pass through; n_chars, where
 present, follows the new text. An empty table gives an empty result.
@@ -50,6 +50,13 @@ def type_of(e: Column) -> Column:
     return kind.when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[0-9a-fA-F]{32,}$"), "token").when(e.rlike(r"^\d[\d -]*$"), "card").when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]*$"), "iban").otherwise("name")
 
 
+def identity(e: Column) -> Column:
+    """What all spellings of one entity share: case, grouping and a title before a name do not tell entities apart."""
+    kind = type_of(e)
+    plain = F.when(kind == "email", F.lower(e)).when(kind.isin("card", "phone", "iban"), F.regexp_replace(e, r"[^+A-Z\d]", "")).when(kind == "name", F.regexp_replace(e, rf"^(?:{MALE_TITLES}|{FEMALE_TITLES})\.? ", "")).otherwise(e)
+    return F.concat_ws(":", kind, plain)
+
+
 def _number(key: str, digits: Column) -> Column:
     """A keyed permutation of the digit strings of one length, up to 36 digits."""
     n = F.length(digits)
@@ -85,7 +92,8 @@ def _letters(source: Column, alphabet: list[str], count: int) -> Column:
     return F.concat(*(F.get(F.array(*map(F.lit, alphabet)), F.conv(F.substring(source, k, 1), 16, 10).cast("int")) for k in range(1, count + 1)))
 
 
-def surrogate(e: Column, key: str) -> Column:
+def surrogate(e: Column, key: str, longer: int = 0) -> Column:
+    """The surrogate of e under key; numbers but addresses get so many more digits at their end."""
     kind, digits = type_of(e), F.regexp_replace(e, r"\D", "")
     country = F.regexp_extract(e, r"^\+\d{1,3}", 0)
     rest = F.substring(e, F.length(country) + 1, F.length(e))
@@ -114,7 +122,10 @@ def surrogate(e: Column, key: str) -> Column:
     name = F.concat(title, F.lit(" "), F.when(two, F.concat(first, F.lit(" "), last)).otherwise(last))
     iban = F.concat(F.substring(e, 1, 2), _placed(F.substring(e, F.lit(3), F.length(e)), _number(key, digits)))
     by_type = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "token", token).when(kind == "name", name)
-    return by_type.when(kind == "phone", F.concat(country, _placed(rest, _number(key, F.regexp_replace(rest, r"\D", ""))))).when(kind == "iban", iban).otherwise(_placed(e, _number(key, digits)))
+    number = F.when(kind == "phone", F.concat(country, _placed(rest, _number(key, F.regexp_replace(rest, r"\D", ""))))).when(kind == "iban", iban).otherwise(_placed(e, _number(key, digits)))
+    if longer:
+        number = F.concat(number, F.lpad(F.pmod(F.xxhash64(F.lit(key), e), F.lit(10**longer)).cast("string"), longer, "0"))
+    return by_type.otherwise(number)
 
 
 def entities(text: Column) -> Column:
@@ -122,32 +133,73 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def keyed(docs: DataFrame, key: str, attempts: int = 8) -> str:
-    """The first of key/0, key/1, ... under which distinct entities of docs have distinct surrogates that are no entities."""
+def _plain(e: Column) -> Column:
+    return F.when(e.contains("@"), F.lower(e)).otherwise(e)
+
+
+def exceptions(docs: DataFrame, key: str, same_length: int = 16) -> DataFrame | None:
+    """entity, surrogate of the entities of docs that key/0 gives another's surrogate or an entity; None where there are none.
+
+    They take key/1, those that still collide key/2, and so on until none is left; all spellings of an entity go together.
+    Of the entities that share a surrogate one keeps it. Where numbers of a length are nearly all entities, same_length
+    keys are not enough: each later key makes the rest one digit longer, so that the rounds end.
+    """
     found = docs.select(F.explode(entities(F.col("text"))).alias("entity"))
-    # Case of addresses and the title before a name do not tell entities apart.
-    plain = F.when(F.col("entity").contains("@"), F.lower("entity")).otherwise(F.col("entity"))
-    known = written(found.select(plain.alias("entity")).distinct(), "entities")
-    for i in range(attempts):
-        mapped = known.select("entity", surrogate(F.col("entity"), f"{key}/{i}").alias("surrogate"))
-        twice = mapped.groupBy("surrogate").agg(F.count("*").alias("n")).where("n > 1").select("surrogate")
-        real = mapped.join(known.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("surrogate")
-        if twice.union(real).limit(1).count() == 0:
-            return f"{key}/{i}"
-    raise ValueError(f"no collision-free key in {attempts} attempts")
+    known = written(found.select(_plain(F.col("entity")).alias("entity")).distinct().select("entity", identity(F.col("entity")).alias("who")), "entities")
+    left, kept, i = known, [], 0
+    while True:
+        new = surrogate(F.col("entity"), f"{key}/{i}", max(0, i - same_length))
+        given = written(left.select("entity", "who", new.alias("surrogate")).withColumn("form", identity(F.col("surrogate"))), "surrogates")
+        first = given.groupBy("form").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first <> last")
+        clash = given.join(first, "form").where("who <> first").select("who")
+        for other in (known.select(F.col("who").alias("form")), *(k.select("form") for k in kept)):
+            clash = clash.union(given.join(other, "form", "left_semi").select("who"))
+        clash = written(clash.distinct(), "colliding")
+        done = clash.limit(1).count() == 0
+        if done and not kept:
+            return None
+        kept.append(given if done else written(given.join(clash, "who", "left_anti"), "kept-surrogates"))
+        if done:
+            return reduce(DataFrame.union, kept[1:]).select("entity", "surrogate")
+        left, i = written(left.join(clash, "who", "left_semi").select("entity", "who"), "colliding-entities"), i + 1
+
+
+def _fresh(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def _with_exceptions(docs: DataFrame, special: DataFrame, name: str) -> DataFrame:
+    """docs with a map from entity to surrogate in the column name: the exceptions in the text, null where there are none.
+
+    Rows meet their exceptions by the list of their entities; rows without entities are spread by their text.
+    """
+    found, spread = _fresh("found", docs.columns), _fresh("spread", docs.columns)
+    listed = docs.select(entities(F.col("text")).alias(found)).where(F.size(found) > 0).distinct()
+    each = listed.select(found, F.explode(F.array_distinct(F.transform(found, _plain))).alias("entity")).join(special, "entity")
+    of_list = each.groupBy(found).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(name)).withColumn(spread, F.lit(0).cast("long"))
+    text = F.col("text")
+    rows = docs.withColumn(found, entities(text)).withColumn(spread, F.when(F.size(found) > 0, F.lit(0).cast("long")).otherwise(F.xxhash64(text)))
+    return rows.join(written(of_list, "exceptions-of-lists"), [found, spread], "left").select(*docs.columns, name)
 
 
 def replaced(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """docs with surrogates in text, and entity_types (the types in order of their places) in a new column."""
-    key = keyed(docs, key)
-    name = "entity_types"
-    while name in docs.columns:
-        name += "_"
+    columns, special = docs.columns, exceptions(docs, key)
+    name, own = _fresh("entity_types", columns), _fresh("exceptions", columns)
+    if special is not None:
+        docs = _with_exceptions(docs, special, own)
     text = F.col("text")
+
+    def given(e: Column) -> Column:
+        usual = surrogate(e, f"{key}/0")
+        return usual if special is None else F.coalesce(F.col(own)[_plain(e)], usual)
+
     found = entities(text)
     between = F.split(text, PATTERN, -1)
-    new = F.array_join(F.zip_with(between, F.transform(found, lambda e: surrogate(e, key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    new = F.array_join(F.zip_with(between, F.transform(found, given), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = docs.withColumn(name, F.transform(found, type_of)).withColumn("text", F.when(F.size(F.col(name)) > 0, new).otherwise(text))
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+    return out.select(*columns, name)

@@ -142,6 +142,22 @@ def test_numbers_stay_distinct(spark):
     assert cards.select(surrogates.surrogate(F.col("e"), "k")).distinct().count() == cards.distinct().count()
 
 
+def test_collisions_are_resolved_for_each_entity(spark):
+    """Numbers so dense that no key is free for all of them."""
+    numbers = [f"+123{i * 7919 % 10**6:06d}" for i in range(3000)]
+    table = spark.createDataFrame([(i, " and ".join(numbers[i * 10 : i * 10 + 10]), i) for i in range(300)] + [(None, numbers[5], 1), (300, "none", 4), (301, None, None)], "doc_id long, text string, found long")
+    out = {r.doc_id: r for r in surrogates.replaced(table).collect()}
+    new = [x for i in range(300) for x in out[i].text.split(" and ")]
+    assert len(set(new)) == len(new) == 3000 and not set(new) & set(numbers) and {len(x) for x in new} == {10}
+    assert out[None].text == new[5] and out[300].text == "none" and out[301].text is None and len(out) == 303 and out[7].found == 7
+
+
+def test_colliding_numbers_get_longer_at_last(spark):
+    numbers = [f"+123{i * 7919 % 10**6:06d}" for i in range(3000)]
+    moved = surrogates.exceptions(spark.createDataFrame([(" ".join(numbers),)], "text string"), "k", 0).collect()
+    assert moved and all(len(r.surrogate) > 10 and r.entity in numbers for r in moved) and len({r.surrogate for r in moved}) == len(moved)
+
+
 def test_lattice(docs, none, rows):
     side = {r[0]: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1 for r in rows}
     counts = Counter()
