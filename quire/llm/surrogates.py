@@ -42,7 +42,7 @@ TYPES = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A text without any of these has no entity; it spares such texts the whole pattern.
-HINT = rf"@|\d{{4}}|[0-9a-fA-F]{{32}}|\d\.\d|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
+HINT = rf"@|\d{{4}}|\+\d|\d(?:[ -]?\d){{12}}|[A-Z]{{2}}\d{{2}}|[0-9a-fA-F]{{32}}|\d\.\d|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
 
 
 def type_of(e: Column) -> Column:

@@ -142,9 +142,28 @@ def test_numbers_stay_distinct(spark):
     assert cards.select(surrogates.surrogate(F.col("e"), "k")).distinct().count() == cards.distinct().count()
 
 
+def test_each_type_is_found_alone(spark):
+    """Each entity in a text of its own, in the groupings that its pattern takes."""
+    alone = {
+        "email": ["a@b.c", "Ana.Lee+x@mail.example.com"],
+        "token": ["0123456789abcdef" * 2, "abcdefab" * 4, "ABCDEFAB" * 16, "1" * 32],
+        "ip": ["1.2.3.4", "255.249.199.10"],
+        "phone": [f"+{c}{x}{a}{y}{m}{z}{e}" for c in ("1", "33", "420") for x in ("", " ", ".", "-") for a in ("61", "612", "(61)", "(6123)") for y in ("", " ", ".", "-") for m in ("345",) for z in ("", " ", ".", "-") for e in ("678", "6789")],
+        "card": [sep.join(("1234567890123456789"[:n])[i : i + k] for i in range(0, n, k)) for n in range(13, 20) for k in (1, 2, 3, 4, 5, 19) for sep in (" ", "-")],
+        "ssn": ["123-45-6789"],
+        "iban": ["GB29NWBKABCDEFGHIJKLMN", "GB29 NWBK ABCD EFGH", "GB29 NWBK ABCD EFGH IJKL MNOP QRST UVWX YZA", "DE89 ABCD 0440 ABCD 0130 AB"],
+        "name": [f"{t}{dot} {n}" for t in f"{surrogates.MALE_TITLES}|{surrogates.FEMALE_TITLES}".split("|") for dot in ("", ".") for n in ("Lee", "Ana Lee", "Ольга")],
+    }
+    rows = [(kind, e) for kind, found in alone.items() for e in found]
+    table = spark.createDataFrame(rows, "kind string, text string").select("kind", "text", surrogates.entities(F.concat(F.lit("so "), "text", F.lit(", so"))).alias("found"), surrogates.type_of(F.col("text")).alias("type"))
+    out = table.collect()
+    assert [(r.kind, r.text) for r in out if r.found != [r.text]] == []
+    assert [(r.kind, r.text, r.type) for r in out if r.type != r.kind] == []
+
+
 def test_collisions_are_resolved_for_each_entity(spark):
     """Numbers so dense that no key is free for all of them."""
-    numbers = [f"+123{i * 7919 % 10**6:06d}" for i in range(3000)]
+    numbers = [f"+999{i * 7919 % 10**6:06d}" for i in range(3000)]
     table = spark.createDataFrame([(i, " and ".join(numbers[i * 10 : i * 10 + 10]), i) for i in range(300)] + [(None, numbers[5], 1), (300, "none", 4), (301, None, None)], "doc_id long, text string, found long")
     out = {r.doc_id: r for r in surrogates.replaced(table).collect()}
     new = [x for i in range(300) for x in out[i].text.split(" and ")]
@@ -153,7 +172,7 @@ def test_collisions_are_resolved_for_each_entity(spark):
 
 
 def test_colliding_numbers_get_longer_at_last(spark):
-    numbers = [f"+123{i * 7919 % 10**6:06d}" for i in range(3000)]
+    numbers = [f"+999{i * 7919 % 10**6:06d}" for i in range(3000)]
     moved = surrogates.exceptions(spark.createDataFrame([(" ".join(numbers),)], "text string"), "k", 0).collect()
     assert moved and all(len(r.surrogate) > 10 and r.entity in numbers for r in moved) and len({r.surrogate for r in moved}) == len(moved)
 
