@@ -207,16 +207,27 @@ def removed(docs: DataFrame, length: int = 200) -> DataFrame:
     return base.join(written(spans, "spans"), "uid", "left").select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """row (all columns) and uid, which is unique and grows with doc_id, hash and a number that tells equal rows apart.
+
+    The ids count on through sorted ranges; they are written at once, as another run may cut the ranges elsewhere.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(docs.doc_id, docs.text).alias("hash"), F.monotonically_increasing_id().alias("number"))
+    order = [F.col("row.doc_id").asc_nulls_last(), F.col("hash").asc(), F.col("number").asc()]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranges.select("row", F.monotonically_increasing_id().alias("uid")), "ordered-rows")
+
+
 def without_later_copies(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the text of every later copy taken out and the first copy kept; a character that a cut would split stays whole.
 
-    Order is by (uid, position). Rows whose text is null stay as they are; n_chars, where present, follows the new text.
+    Order is by (doc_id with nulls last, hash, number within equal rows, position), so the smallest doc_id keeps the passage.
+    Rows whose text is null stay as they are; n_chars, where present, follows the new text.
     """
     fields = docs.columns
-    uid, data, spans_name = "uid", "data", "spans"
-    table = docs.select(F.struct(*fields).alias("row"), F.coalesce(docs.text, F.lit("")).cast("binary").alias(data), F.xxhash64(docs.doc_id, docs.text).alias(uid))
-    spans = written(repeats(table.select(uid, data), length, keep_first=True), "later-spans")
-    joined = table.join(spans, uid, "left")
+    table = _in_order(docs).select("row", F.coalesce("row.text", F.lit("")).cast("binary").alias("data"), "uid")
+    spans = written(repeats(table.select("uid", "data"), length, keep_first=True), "later-spans")
+    joined = table.join(spans, "uid", "left")
 
     def cut(batches):
         for batch in batches:

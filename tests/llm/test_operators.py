@@ -75,6 +75,17 @@ def test_first_copy_stays(docs):
     assert sum("word7 of the shared passage" in t for t in texts) == 1
 
 
+def test_the_smallest_id_keeps_the_passage(spark):
+    one, two, three = (" ".join(f"{k}{i} words of a passage" for i in range(20)) for k in "xyz")
+    rows = [(None, one), (9, "tail " + one), (5, one), (5, one), (2, "head " + one), (8, two), (8, two), (None, three), (None, three), (None, three)] + [(100 + i, f"row {i}") for i in range(50)]
+    out = suffix_dedup.without_later_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.doc_id, []).append(r.text)
+    assert found[2] == ["head " + one] and found[5] == ["", ""] and found[9] == ["tail"]
+    assert sorted(found[8]) == ["", two] and sorted(found[None]) == ["", "", "", three] and len(out) == len(rows)
+
+
 def test_fingerprints(docs, none, rows):
     out = fingerprints.edited_pairs(docs).collect()
     assert len(out) == len(rows) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
