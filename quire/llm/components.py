@@ -30,5 +30,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components not found in {max_rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,7 +8,7 @@ candidate has already rule every link out. Each class is first compared with the
 one bucket but in different components is compared with exact bounds first. No candidate is capped or sampled.
 
 Null and empty texts have no shingles and link with nothing; so do rows with a null doc_id, whose component is null.
-Rows that share a doc_id are told apart by their sets. Only doc_id and text are read.
+Rows that share a doc_id are told apart by the hashes of their sets. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import slices, texts
 from .common import written
@@ -48,6 +49,11 @@ def _minhashes(sets: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def _set_hashes(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    filled = np.concatenate([[np.uint64(0)], np.cumsum(mixed(sets ^ SEED))]), np.concatenate([[np.uint64(0)], np.cumsum(mixed(sets + SEED))])
+    return tuple((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in filled)
+
+
 def signatures(docs: DataFrame, m: int, half: int = HALF, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, h1 and h2 (hashes of the set), a and b (m half keys each)."""
 
@@ -59,9 +65,8 @@ def signatures(docs: DataFrame, m: int, half: int = HALF, words: int = 5) -> Dat
                 keys = np.zeros((2 * m, part.num_rows), np.uint64)
                 for k in range(half):
                     keys = mixed(keys * np.uint64(31) + low[k::half])
-                filled = np.concatenate([[np.uint64(0)], np.cumsum(mixed(sets ^ SEED))]), np.concatenate([[np.uint64(0)], np.cumsum(mixed(sets + SEED))])
-                h1, h2 = (x[bounds[1:]] - x[bounds[:-1]] for x in filled)
-                columns = [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                h1, h2 = _set_hashes(sets, bounds)
+                columns = [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(h1), pa.array(h2)]
                 ends = pa.array(np.arange(part.num_rows + 1) * m, pa.int32())
                 columns += [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(side.T).view(np.int64).ravel())) for side in (keys[:m], keys[m:])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "a", "b"])
@@ -70,7 +75,7 @@ def signatures(docs: DataFrame, m: int, half: int = HALF, words: int = 5) -> Dat
 
 
 def sets_of(docs: DataFrame, words: int = 5) -> DataFrame:
-    """c (class), n, items (sorted shingle hashes), parity (bits that each element flips one of) of docs with a class c and text."""
+    """c (class), n, items (sorted shingle hashes), parity (bits that each element flips one of) of docs with a class c, its n and h2, and text; only rows whose set is that of c."""
 
     def run(batches):
         for batch in batches:
@@ -81,9 +86,12 @@ def sets_of(docs: DataFrame, words: int = 5) -> DataFrame:
                 place = (sets % np.uint64(64 * PARITY)).astype(np.int64)
                 odd = np.bincount(owner * 64 * PARITY + place, minlength=n * 64 * PARITY) & 1
                 bits = np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PARITY, pa.int32()), pa.array(bits.ravel()))], ["c", "n", "items", "parity"])
+                h1, h2 = _set_hashes(sets, bounds)
+                own = (h1 == part.column("c").to_numpy()) & (h2 == part.column("h2").to_numpy()) & (np.diff(bounds) == part.column("n").to_numpy())
+                out = pa.RecordBatch.from_arrays([part.column("c"), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PARITY, pa.int32()), pa.array(bits.ravel()))], ["c", "n", "items", "parity"])
+                yield out if own.all() else out.filter(pa.array(own))
 
-    return docs.select("c", "text").mapInArrow(run, "c long, n long, items array<long>, parity array<long>")
+    return docs.select("c", "n", "h2", "text").mapInArrow(run, "c long, n long, items array<long>, parity array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,17 +118,22 @@ def _parity_distance(x: str, y: str) -> Column:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept (doc_id = component_id)."""
+    return _placed_rows(docs, percent, words)[0]
+
+
+def _placed_rows(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of near_duplicates, and h1, component and component_id of every class."""
     m = half_keys(percent)
     rows = written(signatures(docs, m, words=words), "signatures")
-    classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")).select(F.col("h1").alias("c"), F.col("n_shingles").alias("n"), "rep", "a", "b"), "classes")
+    classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")).select(F.col("h1").alias("c"), "h2", F.col("n_shingles").alias("n"), "rep", "a", "b"), "classes")
     links = _links(docs, classes, m, percent, words)
     joined = classes.select("c", "rep").join(components(links), F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
     joined = written(joined, "class-components")
     least = written(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
-    of_class = written(joined.join(least, "component").select(F.col("c").alias("h1"), "component_id"), "component-of-class")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1")).join(of_class, "h1", "left")
+    of_class = written(joined.join(least, "component").select(F.col("c").alias("h1"), "component", "component_id"), "component-of-class")
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1")).join(of_class.drop("component"), "h1", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), of_class
 
 
 def _links(docs: DataFrame, classes: DataFrame, m: int, percent: int, words: int) -> DataFrame:
@@ -129,7 +142,7 @@ def _links(docs: DataFrame, classes: DataFrame, m: int, percent: int, words: int
     shared = written(halves.groupBy("side", "value").agg(F.count("*").alias("k")).where("k > 1").select("side", "value"), "shared-halves")
     own = halves.join(shared, ["side", "value"]).groupBy("c").agg(F.array_sort(F.collect_list(F.when(F.col("side") < m, F.struct("side", "value")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("side") >= m, F.struct("side", "value")))).alias("b"))
     own = written(own.where("size(a) > 0 and size(b) > 0"), "half-keys")
-    candidates = own.select("c").join(classes.select("c", "n", "rep"), "c")
+    candidates = own.select("c").join(classes.select("c", "h2", "n", "rep"), "c")
     sets = written(_candidate_sets(docs, candidates, words), "candidate-sets")
 
     # Shingles that only one candidate has can't be shared: they bound every similarity of that candidate.
@@ -170,18 +183,45 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def _candidate_sets(docs: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
     """The sets of the candidates, from the text of each class's first document."""
-    known = candidates.select(F.col("rep").alias("doc_id"), "c", "n")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("c", "n", "text")
+    known = candidates.select(F.col("rep").alias("doc_id"), "c", "h2", "n")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("c", "h2", "n", "text")
     got = sets_of(found, words)
     return got.dropDuplicates(["c"])
 
 
+def _with_h1(docs: DataFrame, words: int) -> DataFrame:
+    """row (all columns) and h1, the hash of its set; null where the set is empty."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, bounds = shingle_sets(texts(part), words)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(_set_hashes(sets, bounds)[0], mask=np.diff(bounds) == 0)], ["row", "h1"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("h1", T.LongType())]))
+
+
 def without_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """The rows of docs that stand for their component, as they are; of rows that repeat a kept doc_id, one stays."""
-    found = near_duplicates(docs, percent, words)
-    keep = written(found.where("kept").select("doc_id").distinct(), "kept-ids")
-    out = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(keep.doc_id), "left_semi")
-    repeated = keep.where("doc_id is not null").count() < found.where("kept and doc_id is not null").count()
-    if repeated:
-        out = out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out
+    """The rows of docs that stand for their component, as they are; of rows that share doc_id and component, one stays.
+
+    Rows whose doc_id is repeated are told apart by the hashes of their sets; those with empty sets count as equal.
+    """
+    found, of_class = _placed_rows(docs, percent, words)
+    found = written(found, "placed-rows")
+    repeated = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    keep = found.where("kept").select("doc_id").distinct()
+    if repeated.limit(1).count() == 0:
+        return _only(docs, keep)
+    once = _only(docs, keep.join(repeated, "doc_id", "left_anti"))
+    again = _with_h1(_only(docs, repeated), words).join(of_class, "h1", "left")
+    again = again.where(F.coalesce(F.col("row.doc_id").cast("long") == F.col("component_id"), F.lit(True)))
+    # A row without shingles has no class: it stands for itself.
+    again = again.groupBy("row.doc_id", "component").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.union(again.select("row.*"))
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of the ids, null included."""
+    ids = written(ids.select("doc_id"), "kept-ids")
+    return docs.join(ids, docs.doc_id.cast("long").eqNullSafe(ids.doc_id), "left_semi")

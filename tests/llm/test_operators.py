@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import byte_bpe, fingerprints, hamming, lattice, minhash, packing, quality, suffix_dedup, surrogates, token_shards
+from quire.llm import byte_bpe, components, fingerprints, hamming, lattice, minhash, packing, quality, suffix_dedup, surrogates, token_shards
 from quire.llm.common import held_out
 from quire.llm.queries import BYTE_RANKS, END_ID, PIECES, WORD_BPE
 
@@ -219,6 +219,25 @@ def test_minhash(docs, none, rows):
     assert minhash.near_duplicates(none, 85).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Each id below 20 has two unlike texts with a near copy each; each id from 500 on has a text of its own and a near copy."""
+    text = lambda k, i, end="end": " ".join(f"{k}{i}w{j}" for j in range(60)) + " " + end
+    kept = [(i, text(k, i)) for i in range(20) for k in "ab"] + [(500 + i, text("d", i)) for i in range(20)]
+    rows = kept + [(i, text("a", i)) for i in range(5)] + [(n + i, text(k, i, "other")) for i in range(20) for n, k in ((100, "a"), (200, "b"), (500, "a"))] + [(7, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect())
+    assert out == sorted((i, i % 100 if t and t[0] in "ab" else i) for i, t in rows)
+    left = [(r.doc_id, r.text) for r in minhash.without_near_duplicates(docs).collect()]
+    assert sorted(x for x in left if x[1]) == sorted(kept) and sum(not t for _, t in left) == 1
+
+
+def test_components_do_not_stop_early(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components.components(edges, 1)
+    assert {r.component for r in components.components(edges).collect()} == {0}
+
+
 def test_hamming(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))
