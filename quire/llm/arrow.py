@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose text adds up to about max_bytes; a longer row stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, total = 0, 0

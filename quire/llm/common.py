@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as named by spark.checkpoint.dir; where unset (tests), a new temporary one."""
+    """The folder that driver and executors share, as named by spark.checkpoint.dir; where unset on a local master (tests), a new temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, local, True)
         path = f"file://{local}"
@@ -30,12 +33,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Where the step tables that are still there lie, in the order of their writing.
+_STEPS: dict[str, weakref.ref] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STEPS[path] = weakref.ref(out)
+    return out
+
+
+def dropped(spark: SparkSession, *steps: DataFrame) -> None:
+    """Deletes the tables of steps whose readers have all been written; without steps, those of all that are still there.
+
+    Shuffle files go when the driver collects the handles of finished jobs, which this asks for.
+    """
+    gone = [path for path, step in _STEPS.items() if not steps or any(step() is s for s in steps)]
+    jvm = spark.sparkContext._jvm
+    for path in gone:
+        del _STEPS[path]
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,6 +15,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Beyond). Every step is a written table, and only its row count and a sum of hashes come to the driver. A node's
     neighbours are never gathered: the smallest comes from an aggregate and goes back by a join, which Spark can split.
     """
+    spark = edges.sparkSession
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
@@ -22,10 +23,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
         large = edges.union(edges.select("v", "u").toDF("u", "v")).where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large.where("u <> v"), "large-stars")
+        dropped(spark, edges, least)
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "small-stars")
+        dropped(spark, large, least)
         state = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if state == seen:
             break

@@ -4,10 +4,13 @@ Two collections of half keys, each of a few minhashes, are combined pair by pair
 m * m tables, so a document needs the minhashes of 2m half keys instead of those of m * m whole ones.
 
 Documents with equal sets are one class. A class is dropped as a partner where its sets of shingles that no other
-candidate has already rule every link out. Each class is first compared with the most central class of its buckets; what then still lies in
-one bucket but in different components is compared with exact bounds first. No candidate is capped or sampled.
+candidate has already rule every link out. Each class is first compared with the most central class of its buckets; what
+then still lies in one bucket but in different components is told apart by exact bounds on what classes lack of their
+centre and add to it, cell by cell, and only what these leave is compared on full sets. No candidate is capped or sampled.
 
-Null and empty texts have no shingles and link with nothing; so do rows with a null doc_id, whose component is null.
+Null and empty texts have no shingles. A very long text is one row with its whole set, held by one task at a time.
+
+Null and empty texts link with nothing; so do rows with a null doc_id, whose component is null.
 Rows that share a doc_id are told apart by the hashes of their sets. Only doc_id and text are read.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, texts
-from .common import written
+from .common import dropped, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -94,22 +97,17 @@ def sets_of(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("c", "n", "h2", "text").mapInArrow(run, "c long, n long, items array<long>, parity array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) and what else they have, with the full sets of both as items_u and items_v."""
     left = sets.select(F.col("c").alias("u"), F.col("items").alias("items_u"))
     right = sets.select(F.col("c").alias("v"), F.col("items").alias("items_v"))
+    return pairs.join(left, "u").join(right, "v")
 
-    def run(batches):
-        for batch in batches:
-            us, vs = batch.column("items_u"), batch.column("items_v")
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = us[i].values.to_numpy(), vs[i].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "items_u", "items_v").mapInArrow(run, "u long, v long")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+    both = F.size(F.array_intersect("items_u", "items_v")).cast("long")
+    return _with_sets(pairs.select("u", "v"), sets).where(both * (100 + percent) >= percent * (F.size("items_u") + F.size("items_v"))).select("u", "v")
 
 
 def _parity_distance(x: str, y: str) -> Column:
@@ -129,6 +127,7 @@ def _placed_rows(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame,
     links = _links(docs, classes, m, percent, words)
     joined = classes.select("c", "rep").join(components(links), F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
     joined = written(joined, "class-components")
+    dropped(docs.sparkSession, classes, links)
     least = written(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     of_class = written(joined.join(least, "component").select(F.col("c").alias("h1"), "component", "component_id"), "component-of-class")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1")).join(of_class.drop("component"), "h1", "left")
@@ -138,6 +137,7 @@ def _placed_rows(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame,
 
 def _links(docs: DataFrame, classes: DataFrame, m: int, percent: int, words: int) -> DataFrame:
     """Links (u, v) between classes whose closure is that of all links among classes that share a table key."""
+    spark = docs.sparkSession
     halves = classes.select("c", F.posexplode(F.concat("a", "b")).alias("side", "value"))
     shared = written(halves.groupBy("side", "value").agg(F.count("*").alias("k")).where("k > 1").select("side", "value"), "shared-halves")
     own = halves.join(shared, ["side", "value"]).groupBy("c").agg(F.array_sort(F.collect_list(F.when(F.col("side") < m, F.struct("side", "value")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("side") >= m, F.struct("side", "value")))).alias("b"))
@@ -151,34 +151,64 @@ def _links(docs: DataFrame, classes: DataFrame, m: int, percent: int, words: int
     bounded = sets.select("c", "n", "parity").join(single, "c", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     bounded = written(bounded.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "bounded")
 
-    keyed = own.join(bounded.select("c", "n", "alone"), "c").select("c", "n", "alone", F.explode("a").alias("x"), "b").select("c", "n", "alone", "x", F.explode("b").alias("y")).select("c", "n", "alone", F.xxhash64("x.side", "x.value", "y.side", "y.value").alias("key"))
-    centre = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "c")).alias("centre")).where("k > 1").select("key", F.col("centre.c").alias("v"), F.col("centre.share").alias("share"))
+    keyed = own.join(bounded.select("c", "n", "alone"), "c").select("c", (F.col("alone") / F.col("n")).alias("share"), F.explode("a").alias("x"), "b").select("c", "share", "x", F.explode("b").alias("y")).select("c", "share", F.xxhash64("x.side", "x.value", "y.side", "y.value").alias("key"))
+    centre = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("share", "c")).alias("centre")).where("k > 1").select("key", F.col("centre.c").alias("v"), F.col("centre.share").alias("share"))
     centre = written(centre, "bucket-centres")
-    keyed = written(keyed.join(centre.select("key"), "key"), "buckets")
-    stars = keyed.join(centre, "key").where("c <> v").groupBy(F.col("c").alias("u")).agg(F.min(F.struct("share", "v")).alias("best")).select("u", "best.v")
+    # Classes of one bucket meet in the group of its centre: one row for each class and centre, whatever tables they share.
+    grouped = written(keyed.select("c", "key").join(centre, "key").groupBy("v", "c").agg(F.min("share").alias("share")), "grouped")
+    stars = grouped.where("c <> v").groupBy(F.col("c").alias("u")).agg(F.min(F.struct("share", "v")).alias("best")).select("u", "best.v")
     linked = written(_linked(stars, sets, percent), "star-links")
+    dropped(spark, own, centre)
 
     labels = written(components(linked), "star-components")
-    placed = written(keyed.join(labels, F.col("c") == F.col("node"), "left").select("key", "c", "n", "alone", F.coalesce("component", "c").alias("component")), "placed")
-    mixed_keys = written(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed-buckets")
-    open_rows = written(placed.join(mixed_keys, "key"), "open-buckets")
-    pairs = written(_open_pairs(open_rows, percent).distinct(), "open-pairs")
+    placed = grouped.select("v", "c").join(labels, F.col("c") == F.col("node"), "left").select("v", "c", F.coalesce("component", "c").alias("component"))
+    placed = written(placed, "placed")
+    open_groups = placed.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("v")
+    members = written(placed.join(written(open_groups, "open-groups"), "v").select("v", F.col("c").alias("u"), "component"), "members")
+    dropped(spark, grouped, labels, placed)
+    pairs = written(_open_pairs(members, sets, percent), "open-pairs")
+    dropped(spark, members)
     left = bounded.select(F.col("c").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
     right = bounded.select(F.col("c").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
     # Each differing element flips one parity bit, so the distance bounds the sets' difference from below.
     near = pairs.join(left, "u").join(right, "v").where(_parity_distance("p_u", "p_v") * (100 + percent) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))).select("u", "v")
-    return linked.union(written(_linked(near, sets, percent), "other-links"))
+    out = written(linked.union(_linked(near, sets, percent)), "links")
+    dropped(spark, sets, bounded, linked, pairs)
+    return out
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that sizes and lone shingles don't rule out.
+def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of one group in different components that no bound rules out.
 
-    The side with the larger share of lone shingles meets the one with the smaller.
+    members has v (the group's centre), u and component. A member is the centre less what it lacks plus what it adds.
+    Two members differ by d_u + d_w less twice what they both lack and both add, and can share only what more than one
+    member of the group lacks or adds. These four numbers rule most pairs out, and they do so for whole cells of members
+    with like numbers before any pair is made: a group has as many cells as scales of the numbers, not as members.
     """
-    x = rows.select("key", F.col("c").alias("u"), F.col("n").alias("n_u"), F.col("alone").alias("alone_u"), F.col("component").alias("component_u"))
-    y = rows.select("key", F.col("c").alias("v"), F.col("n").alias("n_v"), F.col("alone").alias("alone_v"), F.col("component").alias("component_v"))
-    most = F.least(F.col("n_u") - F.col("alone_u"), F.col("n_v") - F.col("alone_v"))
-    return x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("component_u") != F.col("component_v")) & (100 * most >= percent * (F.col("n_u") + F.col("n_v") - most))).select("u", "v")
+    lacks = F.array_except("items_v", "items_u")
+    adds = F.array_except("items_u", "items_v")
+    facts = written(_with_sets(members, sets).select("v", "u", "component", F.size("items_u").alias("n"), lacks.alias("lacks"), adds.alias("adds")), "differences")
+    each = facts.select("v", "u", F.explode(F.concat(F.transform("lacks", lambda x: F.struct(F.lit(True).alias("lack"), x.alias("item"))), F.transform("adds", lambda x: F.struct(F.lit(False).alias("lack"), x.alias("item"))))).alias("x")).select("v", "u", "x.lack", "x.item")
+    alone = each.groupBy("v", "lack", "item").agg(F.count("*").alias("k"), F.min("u").alias("u")).where("k = 1").groupBy("v", "u").agg(F.count_if("lack").alias("own_lacks"), F.count_if(~F.col("lack")).alias("own_adds"))
+    sized = facts.select("v", "u", "component", "n", F.size("lacks").alias("l"), F.size("adds").alias("a")).join(alone, ["v", "u"], "left")
+    row = sized.select("v", "u", "component", "n", (F.col("l") + F.col("a")).alias("d"), (F.col("l") - F.coalesce("own_lacks", F.lit(0))).alias("l"), (F.col("a") - F.coalesce("own_adds", F.lit(0))).alias("a"))
+    scale = [F.floor(F.log1p(F.col(x)) * 8).cast("long") for x in ("d", "l", "a", "n")]
+    rows = written(row.withColumn("cell", ((scale[0] * 1024 + scale[1]) * 1024 + scale[2]) * 1024 + scale[3]), "profiles")
+    dropped(members.sparkSession, facts)
+    cells = written(rows.groupBy("v", "cell").agg(F.min("d").alias("d"), F.max("l").alias("l"), F.max("a").alias("a"), F.max("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")), "cells")
+
+    def named(frame: DataFrame, end: str) -> DataFrame:
+        return frame.select("v", *(F.col(c).alias(f"{c}_{end}") for c in frame.columns if c != "v"))
+
+    def within() -> Column:
+        least = F.col("d_x").cast("long") + F.col("d_y") - 2 * F.least("l_x", "l_y") - 2 * F.least("a_x", "a_y")
+        return (100 + percent) * least <= (100 - percent) * (F.col("n_x").cast("long") + F.col("n_y"))
+
+    meet = named(cells, "x").join(named(cells, "y"), "v").where((F.col("cell_x") <= F.col("cell_y")) & within() & (F.least("low_x", "low_y") != F.greatest("high_x", "high_y")))
+    meet = written(meet.select("v", "cell_x", "cell_y"), "cell-pairs")
+    found = meet.join(named(rows, "x"), ["v", "cell_x"]).join(named(rows, "y"), ["v", "cell_y"])
+    found = found.where((F.col("component_x") != F.col("component_y")) & ((F.col("cell_x") < F.col("cell_y")) | (F.col("u_x") < F.col("u_y"))) & within())
+    return found.select(F.least("u_x", "u_y").alias("u"), F.greatest("u_x", "u_y").alias("v")).distinct()
 
 
 def _candidate_sets(docs: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
