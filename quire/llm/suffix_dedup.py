@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices
-from .common import written
+from .arrow import gather, slices
+from .common import dropped, written
 from .shingles import mixed
 
 GRAM = 48
@@ -36,11 +36,23 @@ STEP = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Windows that are looked at in one go, and the low bits of an anchor's rank that hold its place.
+SPAN, PLACE_BITS = 1 << 21, 24
+
+
 def regions(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor hash and anchor place of every run of windows with one anchor."""
+    """First window, number of windows, anchor hash and anchor place of every run of windows with one anchor.
+
+    data may hold several texts one after the other; windows over their joints are regions like others. Very long data is
+    looked at in spans, and a region may then be cut in two.
+    """
+    n = len(data) - length + 1
+    found = [_regions(memoryview(data)[a : min(a + SPAN, n) + length - 1], length, gram, a) for a in range(0, n, SPAN)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _regions(data, length: int, gram: int, base: int) -> tuple[np.ndarray, ...]:
     n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     h = np.zeros(len(data) - gram + 1, np.uint64)
     # Grams by doubling: a hash of 2k bytes joins two hashes of k bytes.
@@ -54,27 +66,34 @@ def regions(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.
         if rest:
             block = mixed(block[: len(block) - size] * np.uint64(131) + block[size:])
             size *= 2
-    # Sliding least hash over length - gram + 1 grams, by doubling.
-    width, low, span = length - gram + 1, h, 1
+    # Sliding least rank over length - gram + 1 grams, by doubling: the high bits of the hash, then the place, so that the leftmost of equal ones wins.
+    bits = np.uint64(PLACE_BITS)
+    width, low, span = length - gram + 1, (h >> bits << bits) | np.arange(len(h), dtype=np.uint64), 1
     while span * 2 <= width:
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     low = np.minimum(low[:n], low[width - span : width - span + n])
-    # Leftmost place of the least hash: the next gram that equals it, seen from the window's start.
-    starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    ends = np.append(starts[1:], n)
-    found = []
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        begin = a
-        for p in (np.flatnonzero(h[a : b - 1 + width] == low[a]) + a).tolist():
-            if begin >= b:
-                break
-            stop = min(b, p + 1)
-            if stop > begin:
-                found.append((begin, stop - begin, p))
-                begin = stop
-    first, count, place = np.array(found, np.int64).reshape(-1, 3).T
-    return first, count, low[first], place
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    place = (low[first] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    return first + base, np.diff(first, append=n), h[place], place + base
+
+
+def text_regions(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Text number, first window, windows, anchor hash and anchor place (in the text) of the regions of several texts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    s, n, h, p = regions(b"".join(texts), length)
+    owner = np.searchsorted(ends, s, "right")
+    # A region may go on over a joint, so its windows are given to the texts they start in, less those that end in the next.
+    extra = np.searchsorted(ends, s + n - 1, "right") - owner
+    row = np.repeat(np.arange(len(s)), extra + 1)
+    text = owner[row] + np.arange(len(row)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
+    start = np.maximum(s[row], (ends - sizes)[text])
+    stop = np.minimum((s + n)[row], ends[text] - length + 1)
+    keep = stop > start
+    text, start, stop, row = text[keep], start[keep], stop[keep], row[keep]
+    begin = (ends - sizes)[text]
+    return text, start - begin, stop - start, h[row], p[row] - begin
 
 
 def _digest(data) -> int:
@@ -86,18 +105,13 @@ def _marks(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "data"):
-                out = [[], [], [], [], [], []]
-                for uid, data in zip(part.column("uid").to_pylist(), part.column("data").to_pylist(), strict=True):
-                    s, n, h, p = regions(data, length)
-                    view = memoryview(data)
-                    out[0].append(np.full(len(s), uid, np.int64))
-                    out[1].append(h.view(np.int64))
-                    out[2].append(np.fromiter((_digest(view[a : a + k - 1 + length]) for a, k in zip(s.tolist(), n.tolist(), strict=True)), np.int64, len(s)))
-                    out[3].append(s)
-                    out[4].append(n.astype(np.int32))
-                    out[5].append((p - s).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["uid", "h", "r", "s", "n", "p"])
+            for part in slices(batch, "data", 2 << 20):
+                data = part.column("data").to_pylist()
+                views = list(map(memoryview, data))
+                t, s, n, h, p = text_regions(data, length)
+                digests = (_digest(views[i][a : a + k - 1 + length]) for i, a, k in zip(t.tolist(), s.tolist(), n.tolist(), strict=True))
+                out = [part.column("uid").to_numpy()[t], h.view(np.int64), np.fromiter(digests, np.int64, len(t)), s, n.astype(np.int32), (p - s).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["uid", "h", "r", "s", "n", "p"])
 
     return rows.select("uid", "data").mapInArrow(run, "uid long, h long, r long, s long, n int, p int")
 
@@ -120,15 +134,18 @@ def repeats(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
     rows has uid (unique) and data (binary). With keep_first, windows count only where an equal one lies at a smaller (uid, position).
     """
+    spark = rows.sparkSession
     marks = written(_marks(rows, length), "regions")
     place = F.struct("uid", "s")
     # Written apart from the join, so that Spark can split the rows of a hot anchor over tasks.
     shared = written(marks.groupBy("h").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("h"), "repeated-anchors")
     near = written(marks.join(shared, "h"), "shared-anchors")
+    dropped(spark, marks, shared)
     same = written(near.groupBy("h", "r").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "equal-regions")
     kinds = same.groupBy("h").agg(F.count("*").alias("kinds"))
     known = written(same.join(kinds, "h"), "known-regions")
     found = written(near.join(known, ["h", "r"]).select("uid", "s", "n", "p", "copies", "kinds", (place == F.col("first")).alias("is_first")), "shared-regions")
+    dropped(spark, near, same, known)
     whole = found.where("copies > 1 and not is_first") if keep_first else found.where("copies > 1")
     # One of each kind of region is looked at, block by block, against the other kinds of its anchor.
     look = found.where("kinds > 1 and (copies = 1 or is_first)")
@@ -150,25 +167,37 @@ def repeats(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     twice = cored.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
     todo = cored.join(twice, "core").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("look"))
 
+    def table(starts, digests, uids):
+        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(uids), np.concatenate(starts), both[:, 0].copy(), both[:, 1].copy())], ["uid", "s", "w1", "w2"])
+
     def windows(batches):
+        hashed = xxhash.xxh3_128_digest
         for batch in batches:
             for part in slices(batch, "data"):
-                uids, places, one, two = [], [], [], []
+                starts, digests, uids = [], [], []
                 for uid, data, runs in zip(part.column("uid").to_pylist(), part.column("data").to_pylist(), part.column("look").to_pylist(), strict=True):
                     view = memoryview(data)
-                    for run in runs:
-                        for s in range(run["s"], run["s"] + run["n"]):
-                            d = xxhash.xxh3_128_digest(view[s : s + length])
-                            uids.append(uid), places.append(s), one.append(int.from_bytes(d[:8], "little", signed=True)), two.append(int.from_bytes(d[8:], "little", signed=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (uids, places, one, two)], ["uid", "s", "w1", "w2"])
+                    own = gather(*np.array([(run["s"], run["n"]) for run in runs], np.int64).T)
+                    digests += [hashed(view[s : s + length]) for s in own.tolist()]
+                    starts.append(own)
+                    uids.append(np.full(len(own), uid, np.int64))
+                    if len(digests) > 400_000:
+                        yield table(starts, digests, uids)
+                        starts, digests, uids = [], [], []
+                if digests:
+                    yield table(starts, digests, uids)
 
     looked = written(rows.join(todo, "uid").select("uid", "data", "look").mapInArrow(windows, "uid long, s long, w1 long, w2 long"), "edge-windows")
+    dropped(spark, cored)
     runs = looked.groupBy("w1", "w2").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1")
     again = looked.join(runs, ["w1", "w2"])
     if keep_first:
         again = again.where(place != F.col("first"))
     spans = whole.select("uid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b")).union(again.select("uid", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
-    return spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+    dropped(spark, found, looked)
+    return out
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -204,7 +233,7 @@ def removed(docs: DataFrame, length: int = 200) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return base.join(written(spans, "spans"), "uid", "left").select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return base.join(spans, "uid", "left").select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -226,7 +255,7 @@ def without_later_copies(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     fields = docs.columns
     table = _in_order(docs).select("row", F.coalesce("row.text", F.lit("")).cast("binary").alias("data"), "uid")
-    spans = written(repeats(table.select("uid", "data"), length, keep_first=True), "later-spans")
+    spans = repeats(table.select("uid", "data"), length, keep_first=True)
     joined = table.join(spans, "uid", "left")
 
     def cut(batches):
