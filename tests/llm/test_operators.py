@@ -188,6 +188,15 @@ def test_colliding_numbers_get_longer_at_last(spark):
     assert moved and all(len(r.surrogate) > 10 and r.entity in numbers for r in moved) and len({r.surrogate for r in moved}) == len(moved)
 
 
+def word_score(word, counts, n, kinds):
+    """log10 of a word's whole and spelled probability, by the plain recursion over one word."""
+    if not word:
+        return math.log10(counts[""] / n)
+    found = lattice.lattice(PIECES)
+    spelled = lattice.forward(word, found.slot, found.byte_slots, found.longest, found.weights)[0][-1] + found.weights[-1]
+    return math.log10(max(counts[word] - lattice.DISCOUNT, 0) / n + math.exp(spelled) * lattice.DISCOUNT * kinds / n)
+
+
 def test_lattice(docs, none, rows):
     side = {r[0]: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1 for r in rows}
     counts = Counter()
@@ -199,7 +208,8 @@ def test_lattice(docs, none, rows):
         texts = {x[1] or "" for x in rows if x[0] == r.doc_id}
         tokens = [*WORD.findall(texts.pop().translate(LOWER)), ""]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(counts[t] > 0 for t in tokens), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)) and r.score < 0
+        assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens))
+        assert r.score == pytest.approx(sum(word_score(t, counts, n, v - 1) for t in tokens))
     assert lattice.scored(none, PIECES, held_out(F.col("doc_id"), 5, 1)).count() == 0
 
 
@@ -210,6 +220,17 @@ def test_forward_sums_all_segmentations():
     assert math.exp(alpha[-1]) == pytest.approx(0.2 + 0.1 * 0.2 + 0.3 * 0.05 + 0.3 * 0.15 * 0.2)
 
 
+def test_words_go_together_as_alone():
+    """The recursion over many words gives what it gives for each word, with pieces, bytes, long words and repeats."""
+    found = lattice.lattice(PIECES)
+    words = ["the", "a", "", "Zürich", "привет", "\U0001f600x", "internationalisation", "q" * 40, "ab" * 200, "the", "\ue000\ue001"]
+    alone = [lattice.forward(w, found.slot, found.byte_slots, found.longest, found.weights)[0][-1] + found.weights[-1] for w in words]
+    assert found.spelled(words) == pytest.approx(alone) and found.spelled([]).shape == (0,)
+    one = [lattice.MARK, *"ab", lattice.MARK + "a", "ab"]
+    small = lattice.Lattice({p: k for k, p in enumerate(one)}, [5] * 256, np.log([0.1, 0.2, 0.1, 0.2, 0.1, 0.1, 0.2]))
+    assert math.exp(small.spelled(["ab"])[0]) == pytest.approx((0.1 * 0.2 * 0.1 + 0.2 * 0.1 + 0.1 * 0.1) * 0.2)
+
+
 def test_minhash(docs, none, rows):
     out = minhash.near_duplicates(docs, 85).collect()
     assert len(out) == len(rows)
