@@ -36,7 +36,8 @@ def sample(term: str, log_weight: str, k: int) -> Column:
     b = (F.shiftrightunsigned(one, 50).bitwiseAND(F.lit(16383)) * F.lit(16384) + F.shiftrightunsigned(two, 50).bitwiseAND(F.lit(16383)) + F.lit(0.5)) * F.lit(2.0**-28)
     t = F.floor(F.col(log_weight) / r + b)
     value = F.log(c) - r * (t - b) - r
-    place = F.floor(F.least(F.greatest((value + 200) * F.lit(2.0**32), F.lit(0.0)), F.lit(2.0**42)))
+    # The value lies between -100 and 10: u and v have 25 bits each and a weight has less than 40.
+    place = F.floor((value + 200) * F.lit(2.0**32))
     return F.shiftleft(place, _MARK).bitwiseOR(F.shiftrightunsigned(F.col(term), k % 40).bitwiseXOR(t).bitwiseAND(F.lit((1 << _MARK) - 1)))
 
 
@@ -81,6 +82,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     extra = keyed.join(heads, "bucket").where(F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))).select("doc_id", "text", F.col("for_bucket").alias("bucket"), "h", F.lit(1).alias("extra"))
     order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("h"))
     both = keyed.select("doc_id", "text", "bucket", "h", F.lit(0).alias("extra")).union(extra)
+    # As many tasks as ranges, so that the words of a task's texts are counted in memory.
+    both = both.repartition(n, "bucket")
     found = both.select("doc_id", "text", "bucket", "h", "extra", *(F.lead(c).over(order).alias(a) for c, a in (("doc_id", "next_id"), ("h", "next_h"), ("text", "next_text"))))
     return found.where("extra = 0").drop("extra")
 
@@ -91,16 +94,19 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     facts = placed.select("bucket", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "doc_id", "h", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_h"))
     sides = placed.select("bucket", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.explode(F.array(F.struct(F.col("h").alias("text_h"), F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.xxhash64("edited").alias("text_h"), F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
     sides = sides.select("bucket", "id", "x.side", "x.text_h", "x.body")
-    # Rows that repeat id and text would add up their words: each is one text.
-    repeated = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        sides = sides.dropDuplicates(["bucket", "id", "side", "text_h"])
-    sigs = signatures(sides, ["bucket", "id", "side", "text_h"], "body", samples)
-    sigs = written(sigs, "signatures")
-    own = sigs.where("side = 0").select("bucket", "id", F.col("text_h").alias("h"), F.col("sig"))
-    edited = sigs.where("side = 1").select("bucket", "id", F.col("text_h").alias("edited_h"), F.col("sig").alias("edited_sig"))
-    following = sigs.where("side = 0").groupBy(F.col("id").alias("n_id"), F.col("text_h").alias("next_h")).agg(F.first("sig").alias("next_sig"))
-    out = written(facts, "facts").join(own, ["bucket", "id", "h"], "left").join(edited, ["bucket", "id", "edited_h"], "left")
-    out = out.withColumn("n_id", F.coalesce("next_id", F.lit(-(2**63)))).join(following, ["n_id", "next_h"], "left")
+    # Where ids are unique, an id and side name one text, and the count of words needs no more.
+    id_or_none = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    if docs.groupBy(id_or_none.alias("id")).count().where("count > 1").limit(1).count():
+        # Rows that repeat id and text would add up their words: each is one text.
+        sides, keys = sides.dropDuplicates(["bucket", "id", "side", "text_h"]), ["text_h"]
+    else:
+        keys = []
+    sigs = written(signatures(sides, ["bucket", "id", "side", *keys], "body", samples), "signatures")
+    renamed = lambda name: [F.col(k).alias(name) for k in keys]
+    own = sigs.where("side = 0").select("bucket", "id", *renamed("h"), "sig")
+    edited = sigs.where("side = 1").select("bucket", "id", *renamed("edited_h"), F.col("sig").alias("edited_sig"))
+    following = sigs.where("side = 0").groupBy(F.col("id").alias("n_id"), *renamed("next_h")).agg(F.first("sig").alias("next_sig"))
+    out = written(facts, "facts").join(own, ["bucket", "id", *(["h"] if keys else [])], "left").join(edited, ["bucket", "id", *(["edited_h"] if keys else [])], "left")
+    out = out.withColumn("n_id", F.coalesce("next_id", F.lit(-(2**63)))).join(following, ["n_id", *(["next_h"] if keys else [])], "left")
     sig, edit, nxt = F.col("sig"), F.col("edited_sig"), F.col("next_sig")
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(sig).alias("fingerprint"), fingerprint(edit).alias("edited_fingerprint"), likeness(sig, edit, samples).alias("near_edited"), likeness(sig, nxt, samples).alias("near_next"))
