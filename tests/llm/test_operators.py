@@ -25,7 +25,6 @@ def by_id(frame, *columns):
 
 def word_ids(text):
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, END_ID]
 
 
@@ -194,7 +193,8 @@ def word_score(word, counts, n, kinds):
         return math.log10(counts[""] / n)
     found = lattice.lattice(PIECES)
     spelled = lattice.forward(word, found.slot, found.byte_slots, found.longest, found.weights)[0][-1] + found.weights[-1]
-    return math.log10(max(counts[word] - lattice.DISCOUNT, 0) / n + math.exp(spelled) * lattice.DISCOUNT * kinds / n)
+    whole = math.log((counts[word] - lattice.DISCOUNT) / n) if counts[word] else -math.inf
+    return np.logaddexp(whole, spelled + math.log(lattice.DISCOUNT * kinds / n)) / math.log(10)
 
 
 def test_lattice(docs, none, rows):
@@ -259,16 +259,24 @@ def test_components_do_not_stop_early(spark):
     assert {r.component for r in components.components(edges).collect()} == {0}
 
 
-def test_hamming(spark):
+@pytest.mark.parametrize("n, probe", [(300, 1e9), (900, 1 / 4), (900, 0)])
+def test_hamming(spark, monkeypatch, n, probe):
+    """All radii, the usual switch and the comparison of all codes alone; ties at rank k, repeated ids, clashing columns, nulls."""
+    monkeypatch.setattr(hamming, "PROBE_SHARE", probe)
+    monkeypatch.setattr(hamming, "BLOCK", 4)
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 16))
+    x = rng.normal(size=(n, 16))
     x[100:160] = x[7]
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None), (None, [1.0] * 16)], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(5, x[5].tolist(), 2), (999, None, 3), (None, [1.0] * 16, 4), (1000, [], 5)], "vec_id long, embedding array<double>, code int")
     rows = hamming.codes(table, "vec_id", "embedding").cache()
     codes = {r.id: r.code for r in rows.collect()}
     got = {}
     for r in hamming.top_k(rows, rows.where("id % 100 = 0"), 10).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.distance, r.id))
-    for q in (0, 100, 200):
-        assert got[q] == sorted(((codes[q] ^ c) & (2**64 - 1)).bit_count() and (((codes[q] ^ c) & (2**64 - 1)).bit_count(), i) or (0, i) for i, c in codes.items() if i != q)[:10]
-    assert hamming.top_k(rows.limit(0), rows.limit(0)).count() == 0
+    assert got == {q: sorted((((codes[q] ^ c) & (2**64 - 1)).bit_count(), i) for i, c in codes.items() if i != q)[:10] for q in range(0, n, 100)}
+
+
+def test_hamming_of_nothing(spark):
+    rows = spark.createDataFrame([], "id long, code long")
+    assert hamming.top_k(rows, rows).count() == 0
+    assert hamming.top_k(spark.createDataFrame([(1, 5), (2, 5)], "id long, code long"), rows).count() == 0
