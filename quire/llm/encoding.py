@@ -7,6 +7,7 @@ for each distinct word and gathers the ids of the texts from these.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,8 +16,10 @@ import pyarrow.compute as pc
 
 from .arrow import gather
 
-#: Distinct words kept from batch to batch in a worker; beyond it the cache starts anew.
-CACHED_WORDS = 1_000_000
+#: Bytes of words and ids kept from batch to batch in a worker; beyond it the cache starts anew.
+CACHED_BYTES = 96 << 20
+#: Characters of the longest word that is kept at all.
+CACHED_WORD = 200
 
 #: White space as the split pattern sees it.
 SPACES = "\\t-\\r \\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -27,7 +30,10 @@ RANKED_MARK = "<|cut|>"
 
 
 class Pool:
-    """Ids of distinct words in one flat array, with a dictionary from word to slot."""
+    """Ids of distinct words in one flat array, with a dictionary from word to slot.
+
+    Long words are encoded each time they come, so what is kept has a bound in bytes however long the texts are.
+    """
 
     def __init__(self, encode, width=np.uint32):
         self.encode, self.width = encode, width
@@ -35,23 +41,40 @@ class Pool:
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, self.width), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slot) > CACHED_WORDS:
+        self.bytes = self.used = self.count = 0
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, self.width), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, words: list[str]) -> dict[str, int]:
+        words, flat, lengths = self.encode(words)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[self.count : self.count + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.count : self.count + len(words)] = lengths
+        out = dict(zip(words, range(self.count, self.count + len(words))))
+        self.used, self.count = self.used + len(flat), self.count + len(words)
+        return out
+
+    def take(self, words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words[code] for all codes, one after the other, and how many each has."""
+        if self.bytes > CACHED_BYTES:
             self.clear()
-        slot = self.slot
-        if missing := [w for w in words if w not in slot]:
-            missing, flat, lengths = self.encode(missing)
-            starts = len(self.ids) + np.cumsum(lengths) - lengths
-            slot.update(zip(missing, range(len(slot), len(slot) + len(missing))))
-            self.ids, self.starts, self.lengths = np.concatenate([self.ids, flat.astype(self.width)]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
-
-    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the slots one after the other, and how many each has."""
+        if missing := [w for w in words if len(w) <= CACHED_WORD and w not in self.slot]:
+            self.slot |= self._add(missing)
+            self.bytes += sum(map(len, missing)) * 2 + 150 * len(missing)
+        used, count = self.used, self.count
+        long = self._add(w) if (w := [w for w in words if len(w) > CACHED_WORD]) else {}
+        find = self.slot.__getitem__ if not long else lambda w: self.slot[w] if len(w) <= CACHED_WORD else long[w]
+        slots = np.fromiter(map(find, words), np.int64, len(words))[codes]
         lengths = self.lengths[slots]
-        return self.ids[gather(self.starts[slots], lengths)], lengths
+        out = self.ids[gather(self.starts[slots], lengths)], lengths
+        if long:
+            self.used, self.count = used, count
+            if len(self.ids) > 4 * max(used, 1 << 20):
+                self.ids = self.ids[: max(used, 1 << 16)].copy()
+        return out
 
 
 #: Letters that stay one letter in lower case, then punctuation that always starts a new match after a letter.
@@ -59,15 +82,17 @@ LETTER_MARK = "([a-zA-Z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\
 
 
 def joined_encoder(tokenizer, mark: str):
-    """Encodes many words in one call: put together around a special token, cut apart at its id. A word with the mark in it goes alone.
+    """Encodes many words in one call: put together around a special token, cut apart at its id. A word with the string of a special token goes alone, as ordinary text.
 
     Returns the words in another order, their ids in one array and how many ids each has.
     """
     mark_id = tokenizer.token_to_id(mark)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        plain = [w for w in words if mark not in w]
-        rest = [w for w in words if mark in w]
+        rest = [w for w in words if any(t in w for t in special)]
+        odd = set(rest)
+        plain = [w for w in words if w not in odd]
         flat, lengths = [], []
         tokenizer.encode_special_tokens = False
         for k in range(0, len(plain), 20_000):
@@ -76,34 +101,55 @@ def joined_encoder(tokenizer, mark: str):
             ends = np.flatnonzero(cut)
             flat.append(ids[~cut])
             lengths.append(np.diff(ends, prepend=-1) - 1)
-        tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text
+        tokenizer.encode_special_tokens = True  # a mark in a word here is ordinary text
         for w in rest:
             flat.append(np.asarray(tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
             lengths.append(np.array([len(flat[-1])]))
-        return plain + rest, np.concatenate(flat), np.concatenate(lengths).astype(np.int64)
+        return plain + rest, np.concatenate(flat or [np.zeros(0, np.uint32)]), np.concatenate(lengths or [np.zeros(0)]).astype(np.int64)
 
     return encode
 
 
+class WordEncoder(Pool):
+    """For tokenizers that treat every run of white space alike, ignore ASCII case and never join words across white space.
+
+    A text with the string of a special token is encoded whole by the library's plain call, which gives the special id.
+    """
+
+    def __init__(self, tokenizer, mark: str):
+        super().__init__(joined_encoder(tokenizer, mark))
+        self.tokenizer = tokenizer
+        self.special = "|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "$^"
+
+    def plain(self, text: str) -> np.ndarray:
+        self.tokenizer.encode_special_tokens = False
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
+
+
 @lru_cache(maxsize=4)
-def word_encoder(path: str, mark: str = "<|endoftext|>") -> Pool:
-    """For tokenizers that treat every run of white space alike, ignore ASCII case and never join words across white space."""
+def word_encoder(path: str, mark: str = "<|endoftext|>") -> WordEncoder:
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    return Pool(joined_encoder(tokenizer, mark))
+    return WordEncoder(Tokenizer.from_file(path), mark)
 
 
-def encode_words(pool: Pool, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, and n + 1 bounds of the texts in it. Strings of special tokens are ordinary text."""
-    spaced = pc.replace_substring_regex(pc.replace_substring_regex(pc.ascii_lower(text), "[\\t\\n\\r]", " "), LETTER_MARK, "\\1 \\2")
-    return _encode_parts(pool, pc.split_pattern(spaced, " "))
+def encode_words(encoder: WordEncoder, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and n + 1 bounds of the texts in it: those of the library's plain call."""
+    special = pc.match_substring_regex(text, encoder.special)
+    rest = pc.if_else(special, "", text) if pc.any(special).as_py() else text
+    spaced = pc.replace_substring_regex(pc.replace_substring_regex(pc.ascii_lower(rest), "[\\t\\n\\r]", " "), LETTER_MARK, "\\1 \\2")
+    ids, bounds = _encode_parts(encoder, pc.split_pattern(spaced, " "))
+    if rest is text:
+        return ids, bounds
+    parts = np.split(ids, bounds[1:-1])
+    for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+        parts[i] = encoder.plain(text[i].as_py())
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def _encode_parts(pool: Pool, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = parts.flatten().dictionary_encode()
-    slots = pool.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    ids, lengths = pool.take(slots)
+    ids, lengths = pool.take(coded.dictionary.to_pylist(), coded.indices.to_numpy())
     bounds = parts.offsets.to_numpy()
     return ids, np.concatenate([[0], np.cumsum(lengths)])[bounds - bounds[0]]
 
