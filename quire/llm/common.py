@@ -48,17 +48,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(spark: SparkSession, *steps: DataFrame) -> None:
-    """Deletes the tables of steps whose readers have all been written; without steps, those of all that are still there.
-
-    Shuffle files go when the driver collects the handles of finished jobs, which this asks for.
-    """
+    """Deletes the tables of steps whose readers have all been written; without steps, those of all that are still there."""
     gone = [path for path, step in _STEPS.items() if not steps or any(step() is s for s in steps)]
     jvm = spark.sparkContext._jvm
     for path in gone:
         del _STEPS[path]
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    jvm.System.gc()
+    freed(spark)
+
+
+def freed(spark: SparkSession) -> None:
+    """Asks the driver to collect the handles of finished jobs, whose shuffle files then go."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import gather, slices
-from .common import dropped, written
+from .common import dropped, freed, written
 from .shingles import mixed
 
 GRAM = 48
@@ -164,6 +164,7 @@ def repeats(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], ["uid", "s", "n", "core"])
 
     cored = written(rows.join(todo, "uid").select("uid", "data", "look").mapInArrow(cores, "uid long, s long, n int, core long"), "block-cores")
+    freed(spark)
     twice = cored.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
     todo = cored.join(twice, "core").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("look"))
 
