@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import evaluation_queries
+from . import evaluation_queries, structure_queries
 from .operators import catalog, chunks, inference, objects, structure
 from .sources.tables import CANDIDATES_SQL, ORDER_ELEMENTS_SQL, TURNS_SQL, candidates, order_elements, table, turns
 
@@ -46,8 +46,9 @@ def _catalog(spark, sf):
 
 _CATALOG_SQL = """SELECT d.doc_id, source || ' ' || lang AS title, CASE source WHEN 'src0' THEN 'srs' WHEN 'src1' THEN 'api' ELSE 'unknown' END AS doc_type,
  CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'failed' ELSE 'uploaded' END AS status, text AS raw_text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
-_LINES_SQL = "SELECT doc_id, source, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS parts FROM documents WHERE trim(text) <> ''"
-_ELEMENTS_SQL = f"SELECT doc_id, i - 1 AS ord, printf('el-%04d', i) AS element_id, source AS section, kept[i] AS text FROM (SELECT doc_id, source, kept, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT doc_id, source, list_filter(parts, lambda x: trim(x) <> '') AS kept FROM ({_LINES_SQL})))"
+_NOT_BLANK = r"[^\s\x0B\x{85}\p{Z}]"
+_LINES_SQL = f"SELECT doc_id, source, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS parts FROM documents WHERE regexp_matches(text, '{_NOT_BLANK}')"
+_ELEMENTS_SQL = f"SELECT doc_id, i - 1 AS ord, printf('el-%04d', i) AS element_id, source AS section, kept[i] AS text FROM (SELECT doc_id, source, kept, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT doc_id, source, list_filter(parts, lambda x: regexp_matches(x, '{_NOT_BLANK}')) AS kept FROM ({_LINES_SQL})))"
 _SIZED_SQL = f"SELECT doc_id, ord, element_id, section, trim('[ELEMENT: ' || element_id || ' page=' || page || ']' || chr(10) || trim(text)) AS marked FROM ({TURNS_SQL})"
 _UNITS_SQL = f"""SELECT *, sum(size) OVER (PARTITION BY doc_id, unit_no)::BIGINT AS unit_size, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM (
  SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY ord)::BIGINT AS unit_no FROM (
@@ -139,7 +140,7 @@ _REGISTRY = {
     "first_evidence": (lambda s, d: inference.first_evidence(_bound(s, d)), f"SELECT doc_id, object_id, element_id, text_span FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY object_id, element_id) AS n FROM ({_BOUND_SQL})) WHERE n = 1"),
     "patch_objects": (_patched_objects, f"SELECT doc_id, slot, object_id, CASE WHEN doc_id % 4 = 1 THEN 'fixed ' || name ELSE name END AS name, description FROM ({_OBJECTS_SQL})"),
     "retry_selection": (lambda s, d: inference.retry_selection(_catalog(s, d), _elements(s, d).where("doc_id % 2 = 0")), f"SELECT doc_id, doc_type, NOT (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM ({_ELEMENTS_SQL}))) AS rebuild FROM ({_CATALOG_SQL}) WHERE doc_type IN ('srs', 'api') AND trim(raw_text) <> ''"),
-} | evaluation_queries.REGISTRY
+} | evaluation_queries.REGISTRY | structure_queries.REGISTRY
 
 
 def queries() -> dict:

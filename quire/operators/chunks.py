@@ -15,9 +15,10 @@ def render_markers(elements: DataFrame) -> DataFrame:
 
 
 def section_units(sized: DataFrame) -> DataFrame:
-    """Adds unit_no (from 1; a new one wherever the section changes), unit_size and opens (first of its unit)."""
+    """Adds unit_no (from 1; a new one wherever the section or group_no changes), unit_size and opens (first of its unit)."""
     order = Window.partitionBy("doc_id").orderBy("ord")
-    changed = ~F.coalesce(F.lag("section").over(order).eqNullSafe(F.col("section")), F.lit(False)) | (F.row_number().over(order) == 1)
+    key = F.struct(*(c for c in ("section", "group_no") if c in sized.columns))
+    changed = ~F.coalesce(F.lag(key).over(order).eqNullSafe(key), F.lit(False)) | (F.row_number().over(order) == 1)
     numbered = sized.withColumn("opens", changed).withColumn("unit_no", F.sum(F.col("opens").cast("long")).over(order))
     return numbered.withColumn("unit_size", F.sum("size").over(Window.partitionBy("doc_id", "unit_no")))
 

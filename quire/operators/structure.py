@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .blocks import stripped
+
 
 def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
@@ -13,12 +15,12 @@ def lines(text: Column) -> Column:
 
 def explode_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 1), line; blank documents have no lines."""
-    return docs.where("trim(text) <> ''").select("doc_id", F.posexplode(lines(F.col("text"))).alias("n", "line")).select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    return docs.where(stripped(F.col("text")) != "").select("doc_id", F.posexplode(lines(F.col("text"))).alias("n", "line")).select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
 def build_elements(docs: DataFrame) -> DataFrame:
     """doc_id, ord (dense, from 0), element_id, section, text: one element for each line that is not blank."""
-    kept = F.filter(lines(F.col("text")), lambda x: F.trim(x) != "")
+    kept = F.filter(lines(F.col("text")), lambda x: stripped(x) != "")
     found = docs.select("doc_id", F.col("source").alias("section"), F.posexplode(kept).alias("ord", "text"))
     return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.format_string("el-%04d", F.col("ord") + 1).alias("element_id"), "section", "text")
 

@@ -62,3 +62,32 @@ LABELLED_SQL = "SELECT p_partkey // 8 AS doc_id, CASE p_partkey % 2 WHEN 0 THEN
 PREDICTED_SQL = """SELECT p_partkey // 8 AS doc_id, CASE p_partkey % 2 WHEN 0 THEN 'modules' ELSE 'tables' END AS slot, p_partkey AS item_no,
  CASE p_partkey % 3 WHEN 0 THEN p_name || ' (P-1)' WHEN 1 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN 'Brand#0' ELSE p_brand END AS kind,
  CASE WHEN p_size > 20 THEN p_type END AS description, p_size % 4 AS n_evidence FROM part WHERE p_partkey % 5 <> 0"""
+
+
+def markdown_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a Markdown document for each order with lines: titles, a version row, a table, a list, code, a quote."""
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").cast("string").alias("quantity"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    key = F.col("o_orderkey").cast("string")
+    rows = F.transform("rows", lambda x: F.concat(F.lit("| "), x.l_linenumber.cast("string"), F.lit(" | "), x.l_partkey.cast("string"), F.lit("|"), x.quantity, F.lit(" |")))
+    items = F.transform("rows", lambda x: F.concat(F.lit("- part "), x.l_partkey.cast("string")))
+    text = [F.concat(F.lit("# Order "), key), F.lit(""), F.concat(F.lit("| Document  Version | **v1."), (F.col("o_orderkey") % 7).cast("string"), F.lit("** |")), F.lit("\u3000"), F.concat(F.lit("## Status "), "o_orderstatus", F.lit(" ")), F.lit(""), F.lit("| line | part | quantity |"), F.lit("| --- |:---:| --- |"), F.array_join(rows, "\r\n"), F.lit(""), F.lit("### 1.1 Parts"), F.array_join(items, "\n"), F.lit("  continued"), F.lit(""), F.lit("```sql"), F.concat(F.lit("SELECT "), key), F.lit("# not a title"), F.lit("````"), F.concat(F.lit("> priority "), "o_orderpriority"), F.lit(">clerk"), F.lit(""), F.lit("2.1 Totals"), F.concat(F.lit("total "), key), F.lit(" second line"), F.lit("---")]
+    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *text).alias("text"), F.when(F.col("o_orderstatus") != "F", F.lit("v9")).alias("version"))
+
+
+_ORDERS_SQL = """SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, n, rows, items FROM orders JOIN (SELECT l_orderkey, count(*) AS n,
+ string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_quantity::BIGINT || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT::VARCHAR) AS rows,
+ string_agg('part ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey"""
+#: The blocks of those documents, straight from the tables: no text is parsed.
+MARKDOWN_BLOCKS_SQL = f"""SELECT k AS doc_id, n, s, unnest([
+ {{'block_no': 0, 'type': 'title', 'level': 1, 'text': 'Order ' || k, 'line_start': 1, 'line_end': 1, 'path': 'Order ' || k}},
+ {{'block_no': 1, 'type': 'paragraph', 'level': NULL, 'text': '| Document  Version | **v1.' || k % 7 || '** |', 'line_start': 3, 'line_end': 4, 'path': 'Order ' || k}},
+ {{'block_no': 2, 'type': 'title', 'level': 2, 'text': 'Status ' || s, 'line_start': 5, 'line_end': 5, 'path': 'Order ' || k || ' > Status ' || s}},
+ {{'block_no': 3, 'type': 'table', 'level': NULL, 'text': '| line | part | quantity |' || chr(10) || rows, 'line_start': 7, 'line_end': 8 + n, 'path': 'Order ' || k || ' > Status ' || s}},
+ {{'block_no': 4, 'type': 'title', 'level': 3, 'text': '1.1 Parts', 'line_start': 10 + n, 'line_end': 10 + n, 'path': 'Order ' || k || ' > Status ' || s || ' > 1.1 Parts'}},
+ {{'block_no': 5, 'type': 'list', 'level': NULL, 'text': items || chr(10) || 'continued', 'line_start': 11 + n, 'line_end': 12 + 2 * n, 'path': 'Order ' || k || ' > Status ' || s || ' > 1.1 Parts'}},
+ {{'block_no': 6, 'type': 'code', 'level': NULL, 'text': 'SELECT ' || k || chr(10) || '# not a title', 'line_start': 13 + 2 * n, 'line_end': 16 + 2 * n, 'path': 'Order ' || k || ' > Status ' || s || ' > 1.1 Parts'}},
+ {{'block_no': 7, 'type': 'quote', 'level': NULL, 'text': 'priority ' || p || chr(10) || 'clerk', 'line_start': 17 + 2 * n, 'line_end': 18 + 2 * n, 'path': 'Order ' || k || ' > Status ' || s || ' > 1.1 Parts'}},
+ {{'block_no': 8, 'type': 'title', 'level': 2, 'text': '2.1 Totals', 'line_start': 20 + 2 * n, 'line_end': 20 + 2 * n, 'path': 'Order ' || k || ' > 2.1 Totals'}},
+ {{'block_no': 9, 'type': 'paragraph', 'level': NULL, 'text': 'total ' || k || chr(10) || 'second line', 'line_start': 21 + 2 * n, 'line_end': 22 + 2 * n, 'path': 'Order ' || k || ' > 2.1 Totals'}},
+ {{'block_no': 10, 'type': 'section_break', 'level': NULL, 'text': '---', 'line_start': 23 + 2 * n, 'line_end': 23 + 2 * n, 'path': 'Order ' || k || ' > 2.1 Totals'}}], max_depth := 2) FROM ({_ORDERS_SQL})"""
