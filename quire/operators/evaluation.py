@@ -126,3 +126,30 @@ def unmatched_examples(predicted: DataFrame, labelled: DataFrame, matched: DataF
         return free.withColumn("n", n).where(F.col("n") <= most).select("doc_id", "slot", F.lit(name).alias("side"), "item_no", F.substring("name", 1, 80).alias("label"))
 
     return side(predicted, "pred_no", "false_positive").union(side(labelled, "gold_no", "false_negative"))
+
+
+def eval_slots(predicted: DataFrame, labelled: DataFrame) -> DataFrame:
+    """doc_id, slot: the slots that either side has."""
+    return predicted.select("doc_id", "slot").union(labelled.select("doc_id", "slot")).distinct()
+
+
+def slot_metrics(counts: DataFrame, completeness: DataFrame, coverage: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """The scores, field counts and coverage of every document and slot; an ignored slot counts 0, 0, 0 and is flagged."""
+    flag = F.col("slot").isin(*ignored) if ignored else F.lit(False)
+    rows = counts.withColumns({"ignored": flag, "pred_count": F.col("tp") + F.col("fp")}).withColumns({c: F.when(F.col("ignored"), 0).otherwise(F.col(c)).cast("long") for c in ("tp", "fp", "fn")})
+    rows = rows.join(completeness.select("doc_id", "slot", "filled", "expected"), ["doc_id", "slot"], "left").join(coverage, ["doc_id", "slot"], "left")
+    zero = {c: F.when(F.col("ignored"), 0).otherwise(F.coalesce(c, F.lit(0))) for c in ("filled", "expected")}
+    return scores(rows.withColumns(zero)).withColumn("coverage", F.when(F.col("ignored"), 0.0).otherwise(F.coalesce("coverage", F.lit(0.0))))
+
+
+def document_metrics(slots: DataFrame) -> DataFrame:
+    """doc_id, the sums and scores of its slots, completeness, and the mean coverage of slots with predictions."""
+    sums = slots.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "filled", "expected")), F.coalesce(F.round(F.avg(F.when(F.col("pred_count") > 0, F.col("coverage"))), 4), F.lit(0.0)).alias("coverage"))
+    return scores(sums).withColumn("completeness", _share(F.col("filled"), F.col("expected")))
+
+
+def compare_models(documents: DataFrame) -> DataFrame:
+    """model, its micro scores and mean completeness, and place by f1, then completeness. documents has model."""
+    sums = documents.groupBy("model").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.round(F.avg("completeness"), 4).alias("completeness"))
+    order = Window.orderBy(F.desc("f1"), F.desc("completeness"), "model")
+    return scores(sums).withColumn("place", F.row_number().over(order).cast("long"))

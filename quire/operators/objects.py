@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,3 +54,65 @@ def evidence_coverage(objects: DataFrame, bound: DataFrame) -> DataFrame:
     joined = objects.select("doc_id", "object_id").join(per_object, ["doc_id", "object_id"], "left")
     sums = joined.groupBy("doc_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_count"), F.count("*").alias("objects_total"), F.count("n").alias("objects_with_evidence"))
     return sums.withColumn("coverage", F.round(F.col("objects_with_evidence") / F.col("objects_total"), 4))
+
+
+def collect_candidates(results: DataFrame, slots: tuple[str, ...]) -> DataFrame:
+    """doc_id, slot, seq, item of every record of the slots that says something besides its id and evidence."""
+    out = None
+    for slot in slots:
+        kind = results.schema[slot].dataType.elementType
+        said = F.lit(False)
+        for f in kind:
+            if f.name not in ("id", "evidence_element_ids"):
+                value = F.col("item")[f.name]
+                said = said | F.coalesce(F.trim(value) != "" if f.dataType.simpleString() == "string" else (F.size(value) > 0 if f.dataType.simpleString().startswith("array") else value.isNotNull()), F.lit(False))
+        rows = results.select("doc_id", F.lit(slot).alias("slot"), "chunk_no", F.posexplode(slot).alias("pos", "item")).where(said)
+        out = rows if out is None else out.unionByName(rows)
+    seq = F.row_number().over(Window.partitionBy("doc_id", "slot").orderBy("chunk_no", "pos"))
+    return out.withColumn("seq", seq.cast("long")).select("doc_id", "slot", "seq", "item")
+
+
+def union_lists(rows: DataFrame, column: str) -> DataFrame:
+    """doc_id, column: the lists of a document in order of seq, one after the other, each value where it comes first."""
+    first = rows.select("doc_id", "seq", F.posexplode(column).alias("pos", "value")).groupBy("doc_id", "value").agg(F.min(F.struct("seq", "pos")).alias("at"))
+    return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value).alias(column))
+
+
+def extraction_meta(coverage: DataFrame, chunks: DataFrame, elements: DataFrame) -> DataFrame:
+    """doc_id, confidence (the coverage), chunk, failed-chunk, element and section counts.
+
+    chunks has doc_id and failed, elements doc_id and section.
+    """
+    c = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.count_if("failed").alias("failed_chunks"))
+    e = elements.groupBy("doc_id").agg(F.count("*").alias("element_count"), F.count_distinct("section").alias("section_count"))
+    out = e.join(c, "doc_id", "left").join(coverage.select("doc_id", F.col("coverage").alias("confidence")), "doc_id", "left")
+    return out.na.fill(0, ["chunk_count", "failed_chunks"]).na.fill(0.0, ["confidence"])
+
+
+def shortened(text: Column, limit: int) -> Column:
+    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("..."))).otherwise(text)
+
+
+def item_view(objects: DataFrame, bound: DataFrame) -> DataFrame:
+    """doc_id, object_id, slot, title (name, else the description cut to 48, else the id), evidence (ordered ids)."""
+    found = bound.groupBy("doc_id", "object_id").agg(F.array_sort(F.collect_set("element_id")).alias("evidence"))
+    title = F.coalesce(F.nullif("name", F.lit("")), shortened(F.nullif(F.col("description"), F.lit("")), 48), "object_id")
+    return objects.join(found, ["doc_id", "object_id"], "left").select("doc_id", "object_id", "slot", title.alias("title"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+
+
+def resolve_targets(evidence: DataFrame, elements: DataFrame) -> DataFrame:
+    """doc_id, object_id, element_id, target: the element with the id, else the first whose text holds the span; else NULL.
+
+    Elements have ord. Only evidence whose id is unknown meets the elements of its document.
+    """
+    known = elements.select("doc_id", "element_id").withColumn("target", F.col("element_id"))
+    rows = evidence.join(known, ["doc_id", "element_id"], "left")
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    loose = rows.where("target is null and text_span <> ''").select("doc_id", "object_id", "element_id", plain(F.col("text_span")).alias("span")).distinct()
+    held = loose.join(elements.select("doc_id", "ord", F.col("element_id").alias("held_by"), plain(F.col("text")).alias("body")), "doc_id").where(F.contains("body", "span")).groupBy("doc_id", "object_id", "element_id").agg(F.min_by("held_by", "ord").alias("held_by"))
+    return rows.join(held, ["doc_id", "object_id", "element_id"], "left").select("doc_id", "object_id", "element_id", F.coalesce("target", "held_by").alias("target"))
+
+
+def targets_by_element(bound: DataFrame) -> DataFrame:
+    """doc_id, element_id, objects (ordered ids of what it supports)."""
+    return bound.groupBy("doc_id", "element_id").agg(F.array_sort(F.collect_set("object_id")).alias("objects"))

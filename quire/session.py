@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,3 +19,13 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables on the way: in spark.checkpoint.dir, or on a local master without it in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
