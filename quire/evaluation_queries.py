@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .operators import evaluation as ev
 from .sources.tables import LABELLED_SQL, PREDICTED_SQL, labelled_items, predicted_items
 
@@ -35,6 +37,22 @@ def _free(items: str, number: str, side: str) -> str:
  WHERE NOT EXISTS (SELECT 1 FROM m JOIN {items} h ON m.doc_id = h.doc_id AND m.slot = h.slot AND m.{number} = h.item_no WHERE h.doc_id = i.doc_id AND h.slot = i.slot AND h.name = i.name)) WHERE n <= 5"""
 
 
+_SLOTS = f"""{_MATCHED}, k AS (SELECT m.doc_id, m.slot, sum({_FILLED})::BIGINT AS filled, sum({_EXPECTED})::BIGINT AS expected FROM m JOIN p ON m.doc_id = p.doc_id AND m.slot = p.slot AND m.pred_no = p.item_no JOIN g ON m.doc_id = g.doc_id AND m.slot = g.slot AND m.gold_no = g.item_no GROUP BY ALL),
+ e AS (SELECT doc_id, slot, round(count(*) FILTER (n_evidence > 0) / count(*), 4) AS coverage FROM p GROUP BY ALL),
+ s AS MATERIALIZED (SELECT *, {_SCORES} FROM (SELECT doc_id, slot, slot = 'tables' AS ignored, tp + fp AS pred_count, CASE WHEN slot = 'tables' THEN 0 ELSE tp END AS tp, CASE WHEN slot = 'tables' THEN 0 ELSE fp END AS fp, CASE WHEN slot = 'tables' THEN 0 ELSE fn END AS fn,
+ CASE WHEN slot = 'tables' THEN 0 ELSE coalesce(filled, 0) END AS filled, CASE WHEN slot = 'tables' THEN 0 ELSE coalesce(expected, 0) END AS expected, CASE WHEN slot = 'tables' THEN 0 ELSE coalesce(coverage, 0) END AS coverage FROM c LEFT JOIN k USING (doc_id, slot) LEFT JOIN e USING (doc_id, slot))),
+ d AS (SELECT *, {_SCORES}, CASE WHEN expected > 0 THEN round(filled / expected, 4) ELSE 0 END AS completeness FROM (SELECT doc_id, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(filled)::BIGINT AS filled, sum(expected)::BIGINT AS expected, coalesce(round(avg(coverage) FILTER (pred_count > 0), 4), 0) AS coverage FROM s GROUP BY doc_id))"""
+
+
+def _slots(spark, sf):
+    matched, both = _matched(spark, sf), _both(spark, sf)
+    return ev.slot_metrics(ev.slot_counts(*both, matched), ev.field_completeness(matched, *both), ev.evidence_share(both[0]), ("tables",))
+
+
+def _documents(spark, sf):
+    return ev.document_metrics(_slots(spark, sf))
+
+
 def _both(spark, sf):
     return predicted_items(spark, sf), labelled_items(spark, sf)
 
@@ -48,6 +66,10 @@ def _counts(spark, sf):
 
 
 REGISTRY = {
+    "eval_slots": (lambda s, d: ev.eval_slots(*_both(s, d)), f"SELECT DISTINCT doc_id, slot FROM (SELECT doc_id, slot FROM ({PREDICTED_SQL}) UNION ALL SELECT doc_id, slot FROM ({LABELLED_SQL}))"),
+    "slot_metrics": (_slots, f"WITH RECURSIVE {_SLOTS} SELECT * FROM s"),
+    "document_metrics": (_documents, f"WITH RECURSIVE {_SLOTS} SELECT * FROM d"),
+    "compare_models": (lambda s, d: ev.compare_models(_documents(s, d).withColumn("model", F.concat(F.lit("model "), (F.col("doc_id") % 3).cast("string")))), f"WITH RECURSIVE {_SLOTS} SELECT *, row_number() OVER (ORDER BY f1 DESC, completeness DESC, model) AS place FROM (SELECT *, {_SCORES} FROM (SELECT 'model ' || doc_id % 3 AS model, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(avg(completeness), 4) AS completeness FROM d GROUP BY 1))"),
     "clean_names": (lambda s, d: ev.prepared(predicted_items(s, d)).select("item_no", "plain"), f"SELECT item_no, plain FROM ({_P})"),
     "candidate_pairs": (lambda s, d: ev.candidate_pairs(*_both(s, d)), _PAIRS_SQL),
     "greedy_match": (_matched, f"WITH RECURSIVE {_MATCHED} SELECT * FROM m"),

@@ -35,12 +35,12 @@ CANDIDATES_SQL = """SELECT l_orderkey AS doc_id, CASE l_returnflag WHEN 'A' THEN
 
 
 def order_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, element_id, text: one element for each of an order's first five line numbers."""
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5")
+    """doc_id, element_id, text: one element for each line number of an order that has a quantity over 8."""
+    line = table(spark, sf_dir, "lineitem").where("l_quantity > 8")
     return line.groupBy(F.col("l_orderkey").alias("doc_id"), "l_linenumber").agg(F.min("l_partkey").alias("p")).select("doc_id", F.format_string("el-%04d", "l_linenumber").alias("element_id"), F.concat(F.lit("part "), F.col("p").cast("string")).alias("text"))
 
 
-ORDER_ELEMENTS_SQL = "SELECT l_orderkey AS doc_id, printf('el-%04d', l_linenumber) AS element_id, 'part ' || min(l_partkey) AS text FROM lineitem WHERE l_linenumber <= 5 GROUP BY l_orderkey, l_linenumber"
+ORDER_ELEMENTS_SQL = "SELECT l_orderkey AS doc_id, printf('el-%04d', l_linenumber) AS element_id, 'part ' || min(l_partkey) AS text FROM lineitem WHERE l_quantity > 8 GROUP BY l_orderkey, l_linenumber"
 
 
 def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,18 +50,18 @@ def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As labelled_items, four in five of them with changed names and kinds and fewer descriptions, and n_evidence."""
+    """As labelled_items, those of a size of 10 and more, with changed names and kinds and fewer descriptions, and n_evidence."""
     key, name = F.col("p_partkey"), F.col("p_name")
     slot = F.when(key % 2 == 0, "modules").otherwise("tables")
     said = F.when(key % 3 == 0, F.concat(name, F.lit(" (P-1)"))).when(key % 3 == 1, F.upper(name)).otherwise(name)
     kind = F.when(key % 7 == 0, "Brand#0").otherwise(F.col("p_brand"))
-    return table(spark, sf_dir, "part").where(key % 5 != 0).select(F.expr("p_partkey DIV 8").alias("doc_id"), slot.alias("slot"), key.alias("item_no"), said.alias("name"), kind.alias("kind"), F.when(F.col("p_size") > 20, F.col("p_type")).alias("description"), (F.col("p_size") % 4).alias("n_evidence"))
+    return table(spark, sf_dir, "part").where("p_size >= 10").select(F.expr("p_partkey DIV 8").alias("doc_id"), slot.alias("slot"), key.alias("item_no"), said.alias("name"), kind.alias("kind"), F.when(F.col("p_size") > 20, F.col("p_type")).alias("description"), (F.col("p_size") % 4).alias("n_evidence"))
 
 
 LABELLED_SQL = "SELECT p_partkey // 8 AS doc_id, CASE p_partkey % 2 WHEN 0 THEN 'modules' ELSE 'tables' END AS slot, p_partkey AS item_no, p_name AS name, p_brand AS kind, CASE WHEN p_size > 10 THEN p_type END AS description FROM part"
 PREDICTED_SQL = """SELECT p_partkey // 8 AS doc_id, CASE p_partkey % 2 WHEN 0 THEN 'modules' ELSE 'tables' END AS slot, p_partkey AS item_no,
  CASE p_partkey % 3 WHEN 0 THEN p_name || ' (P-1)' WHEN 1 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN 'Brand#0' ELSE p_brand END AS kind,
- CASE WHEN p_size > 20 THEN p_type END AS description, p_size % 4 AS n_evidence FROM part WHERE p_partkey % 5 <> 0"""
+ CASE WHEN p_size > 20 THEN p_type END AS description, p_size % 4 AS n_evidence FROM part WHERE p_size >= 10"""
 
 
 def markdown_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
