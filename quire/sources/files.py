@@ -13,7 +13,8 @@ ACCEPTED = {".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".txt": "text"}
 def scan_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """path, content of whole text files: UTF-8, or GBK where the bytes are no UTF-8 (set spark.sql.legacy.javaCharsets)."""
     files = spark.read.format("binaryFile").load(path).where(extension(F.col("path")).isin(".md", ".markdown", ".txt"))
-    return files.select("path", F.when(F.is_valid_utf8(F.decode("content", F.lit("ISO-8859-1"))) & F.expr("is_valid_utf8(cast(content as string))"), F.expr("cast(content as string)")).otherwise(F.decode("content", "GBK")).alias("content"))
+    text = F.col("content").cast("string")
+    return files.select("path", F.when(F.is_valid_utf8(text), text).otherwise(F.decode("content", "GBK")).alias("content"))
 
 
 def extension(path: Column) -> Column:
