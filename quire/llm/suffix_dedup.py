@@ -191,13 +191,16 @@ def repeats(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
     looked = written(rows.join(todo, "uid").select("uid", "data", "look").mapInArrow(windows, "uid long, s long, w1 long, w2 long"), "edge-windows")
     dropped(spark, cored)
-    runs = looked.groupBy("w1", "w2").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1")
+    least = [F.min(place).alias("first")] if keep_first else []
+    # Written apart from the join, so that the shuffle of all windows is gone before they are shuffled again.
+    runs = written(looked.groupBy("w1", "w2").agg(F.count("*").alias("copies"), *least).where("copies > 1").drop("copies"), "repeated-windows")
+    freed(spark)
     again = looked.join(runs, ["w1", "w2"])
     if keep_first:
         again = again.where(place != F.col("first"))
     spans = whole.select("uid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b")).union(again.select("uid", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
     out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
-    dropped(spark, found, looked)
+    dropped(spark, found, looked, runs)
     return out
 
 
