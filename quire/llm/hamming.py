@@ -3,7 +3,7 @@
 A code of 64 bits is cut into m segments, of about as many bits as the number of codes has. At radius r a query probes
 every segment value at Hamming distance r from its own; after that all codes nearer than m (r + 1) are found. A query is
 done when its k-th verified distance is below that, and only the others go on, with that distance as the bound of all
-they still look for. Where a radius has more values to probe than a share of all codes, the queries that are left are
+they still look for and of how many segments the last radius takes. Where a radius has more values to probe than a share of all codes, the queries that are left are
 compared with all codes, in blocks of queries. No bucket or radius is capped. Rows with equal codes are one class, whose k
 smallest ids are all that a top-k can need; of classes at one distance those with the smallest ids are.
 
@@ -131,7 +131,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for radius in range(65):
         probing = radius <= max(w for _, w in segments) and sum(math.comb(w, radius) for _, w in segments) <= max(total * PROBE_SHARE, 8)
         if probing:
-            probes = active.select("query", "bound", _parts("query", segments).alias("x")).select("query", "bound", "x.segment", F.col("x.value").alias("own"), F.explode(_masks(segments, radius)).alias("mask"))
+            # All within the bound have a segment at a smaller radius, or one of the first bound + 1 - m radius segments at this one.
+            needed = F.col("x.segment") < F.col("bound") + 1 - len(segments) * radius
+            probes = active.select("query", "bound", _parts("query", segments).alias("x")).where(needed).select("query", "bound", "x.segment", F.col("x.value").alias("own"), F.explode(_masks(segments, radius)).alias("mask"))
             probes = probes.select("query", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
             near = probes.join(index, ["segment", "value"]).where(_distance("query", "code") <= F.col("bound")).select("query", "code", "n", "first_id", _distance("query", "code").alias("distance"))
             near = near if found is None else near.union(found.join(active.select("query"), "query", "left_semi"))
