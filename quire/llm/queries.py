@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, hamming, lattice, minhash, packing, quality, suffix_dedup, surrogates, token_shards
+from . import byte_bpe, caps, fingerprints, hamming, lattice, minhash, packing, quality, suffix_dedup, surrogates, token_shards, variants, whitening
 from .common import documents_in, held_out, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,18 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(rows, rows.where("id % 100 = 0"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 32)
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents_in(spark, sf_dir))
+
+
+def op13_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.9)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
