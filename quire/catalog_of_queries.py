@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import evaluation_queries, record_queries, structure_queries
+from . import evaluation_queries, layout_queries, record_queries, structure_queries
 from .operators import catalog, chunks, inference, objects, structure
 from .sources.tables import CANDIDATES_SQL, ORDER_ELEMENTS_SQL, TURNS_SQL, candidates, order_elements, table, turns
 
@@ -140,7 +140,7 @@ _REGISTRY = {
     "first_evidence": (lambda s, d: inference.first_evidence(_bound(s, d)), f"SELECT doc_id, object_id, element_id, text_span FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY object_id, element_id) AS n FROM ({_BOUND_SQL})) WHERE n = 1"),
     "patch_objects": (_patched_objects, f"SELECT doc_id, slot, object_id, CASE WHEN doc_id % 4 = 1 THEN 'fixed ' || name ELSE name END AS name, description FROM ({_OBJECTS_SQL})"),
     "retry_selection": (lambda s, d: inference.retry_selection(_catalog(s, d), _elements(s, d).where("doc_id % 2 = 0")), f"SELECT doc_id, doc_type, NOT (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM ({_ELEMENTS_SQL}))) AS rebuild FROM ({_CATALOG_SQL}) WHERE doc_type IN ('srs', 'api') AND trim(raw_text) <> ''"),
-} | evaluation_queries.REGISTRY | structure_queries.REGISTRY | record_queries.REGISTRY
+} | evaluation_queries.REGISTRY | structure_queries.REGISTRY | record_queries.REGISTRY | layout_queries.REGISTRY
 
 
 def queries() -> dict:
