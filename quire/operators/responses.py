@@ -5,9 +5,9 @@ The model is any function from a pandas frame of requests to one of responses; t
 
 from __future__ import annotations
 
-import ast
-import json
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import stripped
+from .json_repair import repaired
 
 FENCED = r"(?is)```(?:json)?\s*(.*?)\s*```"
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
@@ -50,58 +51,72 @@ def finalizer_inputs(results: DataFrame) -> DataFrame:
     return results.where("response is not null").groupBy("doc_id").agg(F.to_json(rows).alias("request"))
 
 
-def batch_infer(requests: DataFrame, call: Callable[[str], str], tasks: int) -> DataFrame:
-    """requests with response and error: a failing call gives an error row, never a failed job."""
-    schema = T.StructType([*requests.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+def batch_infer(requests: DataFrame, call: Callable[[str], str], tasks: int, pool: int = 4, timeout: float | None = None, retries: int = 0, pause: float = 0.0) -> DataFrame:
+    """requests with response and error, in the order of each task's rows: a failing call gives an error row, never a failed job.
 
-    def one(request: str) -> tuple[str | None, str | None]:
-        try:
-            return call(request), None
-        except Exception as e:  # noqa: BLE001  the caller's function may raise anything
-            return None, f"{type(e).__name__}: {e}"[:500]
+    At most tasks * pool calls run at once, and each task holds the answers of at most 2 * pool rows. A call that takes longer
+    than timeout seconds fails; one that fails is made again up to retries times, after a pause that doubles. A null request
+    is an error without a call. An error names what went wrong and, where the requests have a summary (of their chunk), that.
+    """
+    schema = T.StructType([*requests.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+    summarised = "summary" in requests.columns
 
     def run(frames):
-        for frame in frames:
-            both = [one(r) for r in frame["request"]]
-            yield frame.assign(response=[a for a, _ in both], error=[b for _, b in both])
+        calls = _Pool(call, pool, timeout, retries, pause)
+        try:
+            for frame in frames:
+                for start in range(0, len(frame), 2 * pool):
+                    part = frame.iloc[start : start + 2 * pool]
+                    both = calls.answers(part["request"].tolist())
+                    if summarised:
+                        both = [(r, e if e is None else f"chunk failed: {s}: {e}") for (r, e), s in zip(both, part["summary"].tolist(), strict=True)]
+                    yield part.assign(response=[r for r, _ in both], error=[e for _, e in both])
+        finally:
+            calls.close()
 
     return requests.repartition(tasks).mapInPandas(run, schema)
 
 
-def _closed(text: str) -> str:
-    """The text cut back to its last whole value if it ends inside a string, with its open brackets closed."""
-    opened, quoted, comma, bracket, before = [], False, -1, -1, ""
-    text = text.rstrip()
-    for i, c in enumerate(text):
-        if c == '"' and before != "\\":
-            quoted = not quoted
-        comma, bracket = (i if c == "," else comma), (i if c in "{[" else bracket)
-        before = c
-    if quoted:
-        text = text[:comma] if comma > bracket else text[: bracket + 1]
-    quoted, before = False, ""
-    for c in text:
-        if c == '"' and before != "\\":
-            quoted = not quoted
-        elif not quoted and c in "{[":
-            opened.append("}" if c == "{" else "]")
-        elif not quoted and c in "}]" and opened and opened[-1] == c:
-            opened.pop()
-        before = c
-    return text + "".join(reversed(opened))
-
-
-def repaired(text: str | None) -> str | None:
-    """JSON from a truncated text or a literal with single quotes; None where neither helps."""
-    try:
-        return json.dumps(json.loads(_closed(text)), ensure_ascii=False)
-    except (TypeError, AttributeError, ValueError):
-        pass
-    try:
-        found = ast.literal_eval(text)
-        return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) else None
-    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-        return None
+class _Pool:
+    """Calls of one task, a bounded number at once. A call over its time keeps a thread until it returns, so its place is made anew."""
+
+    def __init__(self, call: Callable[[str], str], size: int, timeout: float | None, retries: int, pause: float):
+        self.call, self.size, self.timeout, self.retries, self.pause = call, max(1, size), timeout, max(0, retries), pause
+        self.threads = ThreadPoolExecutor(self.size)
+
+    def _once(self, request: str) -> tuple[str | None, str | None]:
+        for attempt in range(self.retries + 1):
+            try:
+                return self.call(request), None
+            except Exception as e:  # noqa: BLE001  the caller's function may raise anything
+                error = f"{type(e).__name__}: {e}"[:500]
+            if attempt < self.retries:
+                time.sleep(self.pause * 2**attempt)
+        return None, error
+
+    def answers(self, requests: list[str | None]) -> list[tuple[str | None, str | None]]:
+        """The answers in the order of the requests, pool by pool, so that each call's time begins as it starts."""
+        out = []
+        for start in range(0, len(requests), self.size):
+            running = [None if r is None else self.threads.submit(self._once, r) for r in requests[start : start + self.size]]
+            until = None if self.timeout is None else time.monotonic() + self.timeout
+            late = False
+            for future in running:
+                if future is None:
+                    out.append((None, "no request"))
+                    continue
+                try:
+                    out.append(future.result(None if until is None else max(0.0, until - time.monotonic())))
+                except TimeoutError:
+                    late = True
+                    out.append((None, f"no answer in {self.timeout} s"))
+            if late:
+                self.close()
+                self.threads = ThreadPoolExecutor(self.size)
+        return out
+
+    def close(self) -> None:
+        self.threads.shutdown(wait=False, cancel_futures=True)
 
 
 @F.pandas_udf(T.StringType())
@@ -110,13 +125,17 @@ def _repaired(texts: pd.Series) -> pd.Series:
 
 
 def parse_json(responses: DataFrame, column: str = "response") -> DataFrame:
-    """Adds parsed (JSON text) and outcome: parsed, repaired or failed. Only what does not parse goes to Python."""
+    """Adds parsed (JSON text), outcome (parsed, repaired or failed) and preview (the first 200 characters of what failed).
+
+    Only what does not parse goes to Python.
+    """
     said = F.coalesce(F.col(column), F.lit(""))
     inside = F.when(said.rlike(FENCED), F.regexp_extract(said, FENCED, 1)).otherwise(said)
     rows = responses.withColumn("body", stripped(inside)).withColumn("strict", F.try_parse_json("body").isNotNull() & (F.col("body") != ""))
     good = rows.where("strict").withColumns({"parsed": F.col("body"), "outcome": F.lit("parsed")})
     odd = rows.where(~F.col("strict")).withColumn("parsed", _repaired("body")).withColumn("outcome", F.when(F.col("parsed").isNotNull(), "repaired").otherwise("failed"))
-    return good.unionByName(odd).drop("body", "strict")
+    preview = F.when(F.col("outcome") == "failed", F.concat(F.substring(said, 1, 200), F.when(F.length(said) > 200, F.lit("...")).otherwise("")))
+    return good.unionByName(odd).withColumn("preview", preview).drop("body", "strict")
 
 
 def _trimmed(value: Column, kind: T.DataType) -> Column:
