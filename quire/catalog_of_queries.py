@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import evaluation_queries, layout_queries, record_queries, structure_queries
+from . import evaluation_queries, layout_queries, merging_queries, record_queries, structure_queries
 from .operators import catalog, chunks, inference, objects, structure
 from .sources.tables import CANDIDATES_SQL, ORDER_ELEMENTS_SQL, TURNS_SQL, candidates, order_elements, table, turns
 
@@ -59,7 +59,7 @@ _CHUNKED_SQL = f"""u AS MATERIALIZED ({_UNITS_SQL}), f AS (
  FROM f JOIN u ON u.doc_id = f.doc_id AND u.rn = f.rn + 1,
  LATERAL (SELECT CASE WHEN u.opens THEN f.big OR u.unit_size > {MAX_CHARS} OR f.held + u.unit_size > {MAX_CHARS} ELSE f.big AND f.held + u.size > {MAX_CHARS} END AS new, CASE WHEN u.opens THEN u.unit_size > {MAX_CHARS} ELSE f.big END AS is_big) n),
  c AS (SELECT u.*, f.chunk_no FROM u JOIN f USING (doc_id, rn))"""
-_KEYED_SQL = f"SELECT *, slot || '|' || item_type || '|' || lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS object_key FROM ({CANDIDATES_SQL})"
+_KEYED_SQL = f"SELECT *, slot || '::' || lower(item_type) || '::' || lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS object_key FROM ({CANDIDATES_SQL})"
 _MERGED_SQL = f"SELECT doc_id, slot, object_key, min(seq) AS first_seq, arg_max(name, length(name) * 1000000 - seq) AS name, arg_max(description, length(description) * 1000000 - seq) AS description, count(*) AS candidates FROM ({_KEYED_SQL}) GROUP BY ALL"
 _OBJECTS_SQL = f"SELECT *, CASE slot WHEN 'apis' THEN 'APIS' WHEN 'modules' THEN 'MOD' ELSE 'TBL' END || '-' || printf('%03d', row_number() OVER (PARTITION BY doc_id, slot ORDER BY first_seq)) AS object_id FROM ({_MERGED_SQL})"
 _NAMED_SQL = f"SELECT DISTINCT doc_id, object_id, evidence_id FROM ({_KEYED_SQL}) JOIN (SELECT doc_id, object_key, object_id FROM ({_OBJECTS_SQL})) USING (doc_id, object_key)"
@@ -118,7 +118,7 @@ _REGISTRY = {
     "scan_quality_gate": (lambda s, d: structure.scan_quality(_pages(s, d)), f"SELECT doc_id, count(*) AS pages, sum(chars)::BIGINT AS chars, sum(chars) < 120 OR sum(chars) < 40 * count(*) OR count(*) FILTER (chars = 0) * 10 >= 6 * count(*) AS needs_ocr FROM ({_PAGES_SQL}) WHERE n <= 6 OR page_no IN (0, n - 1, round_even((n - 1) / 5.0, 0), round_even(2 * (n - 1) / 5.0, 0), round_even(3 * (n - 1) / 5.0, 0), round_even(4 * (n - 1) / 5.0, 0)) GROUP BY doc_id"),
     "render_markers": (lambda s, d: chunks.render_markers(turns(s, d)).select("doc_id", "ord", "marked", "size"), f"SELECT doc_id, ord, marked, length(marked) AS size FROM ({_SIZED_SQL})"),
     "section_units": (lambda s, d: _units(s, d).where("opens").select("doc_id", "unit_no", "section", "unit_size"), f"SELECT doc_id, unit_no, section, unit_size FROM ({_UNITS_SQL}) WHERE opens"),
-    "pack_chunks": (lambda s, d: chunks.chunk_summary(_chunked(s, d)), f"WITH RECURSIVE {_CHUNKED_SQL} SELECT doc_id, printf('chunk-%04d', chunk_no) AS chunk_id, arg_min(section, ord) AS section, count(*) AS elements, sum(size)::BIGINT AS chars, min(element_id) AS first_element, max(element_id) AS last_element FROM c GROUP BY doc_id, chunk_no"),
+    "pack_chunks": (lambda s, d: chunks.chunk_summary(_chunked(s, d)).withColumn("element_ids", F.array_join("element_ids", ",")), f"WITH RECURSIVE {_CHUNKED_SQL} SELECT doc_id, printf('chunk-%04d', chunk_no) AS chunk_id, arg_min(section, ord) AS section, count(*) AS elements, sum(size)::BIGINT AS chars, min(page) AS page_start, max(page) AS page_end, arg_min(element_id, ord) AS first_element, arg_max(element_id, ord) AS last_element, string_agg(element_id, ',' ORDER BY ord) AS element_ids, string_agg(marked, chr(10) || chr(10) ORDER BY ord) AS markdown FROM (SELECT c.*, t.page, t.marked FROM c JOIN (SELECT z.doc_id, z.ord, z.marked, y.page FROM ({_SIZED_SQL}) z JOIN ({TURNS_SQL}) y ON z.doc_id = y.doc_id AND z.ord = y.ord) t ON c.doc_id = t.doc_id AND c.ord = t.ord) GROUP BY doc_id, chunk_no"),
     "chunk_overlap": (lambda s, d: chunks.overlap(_chunked(s, d), OVERLAP), f"WITH RECURSIVE {_CHUNKED_SQL}, p AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY ord) - size AS before FROM c), s AS (SELECT doc_id, chunk_no, min(ord) AS start, min(before) AS before FROM p WHERE chunk_no > 1 GROUP BY doc_id, chunk_no) SELECT s.doc_id, s.chunk_no, p.ord FROM s JOIN p ON s.doc_id = p.doc_id AND p.ord < s.start AND s.before - p.before <= {OVERLAP}"),
     "object_identity": (lambda s, d: _keyed(s, d).select("doc_id", "seq", "object_key"), f"SELECT doc_id, seq, object_key FROM ({_KEYED_SQL})"),
     "merge_objects": (lambda s, d: objects.merge_objects(_keyed(s, d)), _MERGED_SQL),
@@ -140,7 +140,7 @@ _REGISTRY = {
     "first_evidence": (lambda s, d: inference.first_evidence(_bound(s, d)), f"SELECT doc_id, object_id, element_id, text_span FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY object_id, element_id) AS n FROM ({_BOUND_SQL})) WHERE n = 1"),
     "patch_objects": (_patched_objects, f"SELECT doc_id, slot, object_id, CASE WHEN doc_id % 4 = 1 THEN 'fixed ' || name ELSE name END AS name, description FROM ({_OBJECTS_SQL})"),
     "retry_selection": (lambda s, d: inference.retry_selection(_catalog(s, d), _elements(s, d).where("doc_id % 2 = 0")), f"SELECT doc_id, doc_type, NOT (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM ({_ELEMENTS_SQL}))) AS rebuild FROM ({_CATALOG_SQL}) WHERE doc_type IN ('srs', 'api') AND trim(raw_text) <> ''"),
-} | evaluation_queries.REGISTRY | structure_queries.REGISTRY | record_queries.REGISTRY | layout_queries.REGISTRY
+} | evaluation_queries.REGISTRY | structure_queries.REGISTRY | record_queries.REGISTRY | layout_queries.REGISTRY | merging_queries.REGISTRY
 
 
 def queries() -> dict:

@@ -9,23 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CODE = r"\s*[（(][A-Za-z]+-\d+[)）]\s*$"
+from .blocks import stripped
+
+CODE = r"(?U)\s*[（(][A-Za-z0-9_-]+[)）]\s*$"
 FIELDS = ("name", "kind", "description")
 
 
 def cleaned(name: Column) -> Column:
     """The name without a code in brackets at its end."""
-    return F.trim(F.regexp_replace(name, CODE, ""))
+    return stripped(F.regexp_replace(stripped(name), CODE, ""))
 
 
 def normalized(name: Column) -> Column:
     """The cleaned name in lower case, with plain brackets and no white space."""
-    return F.regexp_replace(F.translate(F.lower(cleaned(name)), "（）", "()"), r"\s+", "")
+    return F.regexp_replace(F.translate(F.lower(cleaned(name)), "（）", "()"), r"(?U)\s+", "")
 
 
 def bigrams(text: Column) -> Column:
     """The set of character bigrams and of neighbouring words joined by an underscore."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
     def pairs(n: Column, make) -> Column:
         return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), make)).otherwise(F.array().cast("array<string>"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .blocks import stripped
+
 # The priorities, and the document types that have a schema.
 PRIORITIES = ("high", "medium", "low")
 SUPPORTED = ("srs", "hld", "api", "tc", "dbdd")
@@ -21,14 +23,14 @@ def document_outline(elements: DataFrame, topics: int = 12) -> DataFrame:
 
 def summary_inputs(docs: DataFrame, outline: DataFrame, limit: int = 12000) -> DataFrame:
     """doc_id, text (single blanks, cut to the limit), outline (JSON; NULL without elements)."""
-    plain = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, limit)
+    plain = F.substring(stripped(F.regexp_replace("text", r"(?U)\s+", " ")), 1, limit)
     json = outline.select("doc_id", F.to_json(F.struct("sections", "main_topics")).alias("outline"))
     return docs.select("doc_id", plain.alias("text")).join(json, "doc_id", "left")
 
 
 def normalized_enum(value: Column, allowed: tuple[str, ...], default: str) -> Column:
     """The value in lower case without blanks around it; the default for others and NULL."""
-    plain = F.lower(F.trim(value))
+    plain = F.lower(stripped(value))
     return F.when(plain.isin(*allowed), plain).otherwise(default)
 
 
@@ -39,8 +41,8 @@ def finalizer_fallback(final: DataFrame, partial: DataFrame) -> DataFrame:
 
 def merge_document_fields(candidates: DataFrame, text: str, item: str) -> DataFrame:
     """doc_id, the longest value of `text` (the earlier of equals), the distinct values of `item` in first-seen order."""
-    rank = F.struct(F.length(F.trim(text)), -F.col("seq"))
-    first = candidates.groupBy("doc_id", item).agg(F.min("seq").alias("first"), F.max(F.struct(rank.alias("rank"), F.col(text))).alias("best"))
+    rank = F.when(F.col(text) != "", F.struct(F.length(stripped(F.col(text))), -F.col("seq")))
+    first = candidates.groupBy("doc_id", item).agg(F.min("seq").alias("first"), F.max(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col(text)))).alias("best"))
     rows = F.array_sort(F.collect_list(F.when(F.col(item) != "", F.struct("first", item))))
     return first.groupBy("doc_id").agg(F.max("best").getField(text).alias(text), F.transform(rows, lambda x: x[item]).alias(f"{item}s"))
 
@@ -60,6 +62,6 @@ def patch_objects(objects: DataFrame, patches: DataFrame, fields: tuple[str, ...
 
 def retry_selection(catalog: DataFrame, elements: DataFrame) -> DataFrame:
     """doc_id, doc_type, rebuild (no elements yet) of the documents that have text and a supported type."""
-    eligible = catalog.where(F.col("doc_type").isin(*SUPPORTED) & (F.trim("raw_text") != ""))
+    eligible = catalog.where(F.col("doc_type").isin(*SUPPORTED) & (stripped(F.col("raw_text")) != ""))
     known = elements.select("doc_id").distinct().withColumn("known", F.lit(True))
     return eligible.join(known, "doc_id", "left").select("doc_id", "doc_type", F.col("known").isNull().alias("rebuild"))

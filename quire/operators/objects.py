@@ -4,22 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import merging
+from .blocks import stripped
+
 # Id prefixes by slot; other slots take their first four letters.
 PREFIXES = {"functional_requirements": "FREQ", "non_functional_requirements": "NFR", "business_flows": "BFL", "apis": "APIS", "modules": "MOD", "core_flows": "CFL", "design_decisions": "DEC", "test_cases": "TC", "tables": "TBL"}
 
 
 def object_identity(candidates: DataFrame) -> DataFrame:
-    """Adds object_key: slot, type and the name in lower case with single blanks."""
-    name = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
-    return candidates.withColumn("object_key", F.concat_ws("|", "slot", "item_type", name))
+    """Adds object_key to doc_id, slot, seq and either item or the fields of the records (see merging.identity)."""
+    if "item" in candidates.columns:
+        return candidates.withColumn("object_key", merging.identity(F.col("slot"), F.col("item"), candidates.schema["item"].dataType))
+    kind = T.StructType([f for f in candidates.schema if f.name not in ("doc_id", "slot", "seq")])
+    item = merging.cleaned(F.struct(*kind.names), kind)
+    return candidates.withColumn("object_key", merging.identity(F.col("slot"), item, kind))
 
 
 def merge_objects(keyed: DataFrame) -> DataFrame:
-    """doc_id, slot, object_key, first_seq, name, description (the longest, the earlier of equals), candidates."""
-    rank = F.struct(F.length("description"), -F.col("seq"))
-    return keyed.groupBy("doc_id", "slot", "object_key").agg(F.min("seq").alias("first_seq"), F.max_by("name", F.struct(F.length("name"), -F.col("seq"))).alias("name"), F.max_by("description", rank).alias("description"), F.count("*").alias("candidates"))
+    """doc_id, slot, object_key, first_seq, name, description (each the longest, the earlier of equals), candidates."""
+    seq = F.col("seq")
+    return keyed.groupBy("doc_id", "slot", "object_key").agg(F.min("seq").alias("first_seq"), merging.longest(F.col("name"), seq).alias("name"), merging.longest(F.col("description"), seq).alias("description"), F.count("*").alias("candidates"))
 
 
 def assign_ids(objects: DataFrame) -> DataFrame:
@@ -33,12 +40,12 @@ def assign_ids(objects: DataFrame) -> DataFrame:
 
 def object_evidence(keyed: DataFrame, objects: DataFrame) -> DataFrame:
     """doc_id, object_id, evidence_id: the distinct ids that an object's candidates name."""
-    return keyed.select("doc_id", "object_key", F.trim("evidence_id").alias("evidence_id")).distinct().join(objects.select("doc_id", "object_key", "object_id"), ["doc_id", "object_key"]).select("doc_id", "object_id", "evidence_id")
+    return keyed.select("doc_id", "object_key", stripped(F.col("evidence_id")).alias("evidence_id")).distinct().join(objects.select("doc_id", "object_key", "object_id"), ["doc_id", "object_key"]).select("doc_id", "object_id", "evidence_id")
 
 
 def bind_evidence(named: DataFrame, elements: DataFrame) -> DataFrame:
     """doc_id, object_id, element_id, text_span (single blanks, cut to 500) of the ids that exist in the document."""
-    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
+    plain = stripped(F.regexp_replace("text", r"(?U)\s+", " "))
     span = F.when(F.length(plain) > 500, F.concat(F.rtrim(F.substring(plain, 1, 500)), F.lit("..."))).otherwise(plain)
     spans = elements.select("doc_id", "element_id", span.alias("text_span"))
     return named.withColumnRenamed("evidence_id", "element_id").join(spans, ["doc_id", "element_id"]).select("doc_id", "object_id", "element_id", "text_span")
@@ -57,16 +64,11 @@ def evidence_coverage(objects: DataFrame, bound: DataFrame) -> DataFrame:
 
 
 def collect_candidates(results: DataFrame, slots: tuple[str, ...]) -> DataFrame:
-    """doc_id, slot, seq, item of every record of the slots that says something besides its id and evidence."""
+    """doc_id, slot, seq (dense, from 1), item: the cleaned records of the slots that say something besides their id and evidence."""
     out = None
     for slot in slots:
         kind = results.schema[slot].dataType.elementType
-        said = F.lit(False)
-        for f in kind:
-            if f.name not in ("id", "evidence_element_ids"):
-                value = F.col("item")[f.name]
-                said = said | F.coalesce(F.trim(value) != "" if f.dataType.simpleString() == "string" else (F.size(value) > 0 if f.dataType.simpleString().startswith("array") else value.isNotNull()), F.lit(False))
-        rows = results.select("doc_id", F.lit(slot).alias("slot"), "chunk_no", F.posexplode(slot).alias("pos", "item")).where(said)
+        rows = results.select("doc_id", F.lit(slot).alias("slot"), "chunk_no", F.posexplode(slot).alias("pos", "item")).withColumn("item", merging.cleaned(F.col("item"), kind)).where(merging.says_something(F.col("item"), kind))
         out = rows if out is None else out.unionByName(rows)
     seq = F.row_number().over(Window.partitionBy("doc_id", "slot").orderBy("chunk_no", "pos"))
     return out.withColumn("seq", seq.cast("long")).select("doc_id", "slot", "seq", "item")

@@ -90,7 +90,7 @@ def _validated(spark, sf):
 
 
 def _candidates(spark, sf):
-    return objects.collect_candidates(_line_items(spark, sf), ("apis",)).select("doc_id", "slot", "seq", F.trim("item.name").alias("name"), F.coalesce("item.description", F.lit("")).alias("description"))
+    return objects.collect_candidates(_line_items(spark, sf), ("apis",)).select("doc_id", "slot", "seq", F.coalesce("item.name", F.lit("")).alias("name"), F.coalesce("item.description", F.lit("")).alias("description"))
 
 
 def _united(spark, sf):

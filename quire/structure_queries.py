@@ -51,6 +51,14 @@ def _grouped_units(spark, sf):
     return chunks.section_units(chunks.render_markers(rows))
 
 
+SMALL = 90
+# The twin goes from element to element with what its chunk holds; a chunk ends with its group.
+_GROUPED_CHUNKS_SQL = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT *, length('[ELEMENT: ' || element_id || ']' || chr(10) || text) AS size, sum(length('[ELEMENT: ' || element_id || ']' || chr(10) || text)) OVER (PARTITION BY doc_id, group_no, path) AS unit_size, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM ({_GROUPED})),
+ f AS (SELECT doc_id, rn, ord, group_no, path, 1::BIGINT AS chunk_no, CASE WHEN unit_size > {SMALL} THEN size ELSE unit_size END AS held, unit_size > {SMALL} AS big FROM u WHERE rn = 1
+ UNION ALL SELECT u.doc_id, u.rn, u.ord, u.group_no, u.path, f.chunk_no + (CASE WHEN u.group_no <> f.group_no THEN 1 WHEN u.path <> f.path THEN (f.big OR u.unit_size > {SMALL} OR f.held + u.unit_size > {SMALL})::INT ELSE (f.big AND f.held + u.size > {SMALL})::INT END),
+ CASE WHEN u.group_no <> f.group_no OR u.path <> f.path THEN (CASE WHEN u.unit_size > {SMALL} THEN u.size WHEN u.group_no <> f.group_no OR f.big OR f.held + u.unit_size > {SMALL} THEN u.unit_size ELSE f.held + u.unit_size END) WHEN NOT f.big THEN f.held WHEN f.held + u.size > {SMALL} THEN u.size ELSE f.held + u.size END, u.unit_size > {SMALL}
+ FROM f JOIN u ON u.doc_id = f.doc_id AND u.rn = f.rn + 1) SELECT doc_id, ord, group_no, chunk_no FROM f"""
+
 REGISTRY = {
     "classify_lines": (lambda s, d: blocks.classify_lines(_lines(s, d)).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line")), f"SELECT k AS doc_id, unnest([{{'label': 'heading', 'n': 5, 'first_line': 1}}, {{'label': 'blank', 'n': 6, 'first_line': 2}}, {{'label': 'table', 'n': 1, 'first_line': 7}}, {{'label': 'text', 'n': n + 6, 'first_line': 3}}, {{'label': 'item', 'n': n, 'first_line': 11 + n}}, {{'label': 'fence', 'n': 2, 'first_line': 13 + 2 * n}}, {{'label': 'quote', 'n': 2, 'first_line': 17 + 2 * n}}, {{'label': 'break', 'n': 1, 'first_line': 23 + 2 * n}}], max_depth := 2) FROM (SELECT DISTINCT doc_id AS k, n FROM {_B})"),
     "numbered_headings": (lambda s, d: blocks.classify_lines(_lines(s, d)).where("heading and not startswith(body, '#')").select("doc_id", "line_no", F.col("level").cast("int").alias("level"), "title"), f"SELECT doc_id, line_start::BIGINT AS line_no, level::INT AS level, text AS title FROM {_B} WHERE block_no = 8"),
@@ -68,4 +76,5 @@ REGISTRY = {
     "fill_missing_metadata": (lambda s, d: metadata.fill_missing(markdown_orders(s, d).select("doc_id", "version"), _versions(s, d)), f"SELECT DISTINCT doc_id, CASE WHEN s = 'F' THEN 'v1.' || doc_id % 7 ELSE 'v9' END AS version FROM {_B}"),
     "drop_ignored_sections": (lambda s, d: _grouped(s, d).select("doc_id", "ord", "element_id", "group_no"), f"SELECT doc_id, ord, element_id, group_no FROM ({_GROUPED})"),
     "grouped_units": (lambda s, d: _grouped_units(s, d).where("opens").select("doc_id", "unit_no", "group_no", "section", "unit_size"), f"SELECT doc_id, unit_no::BIGINT AS unit_no, group_no, path AS section, unit_size::BIGINT AS unit_size FROM (SELECT doc_id, group_no, path, min(ord) AS o, sum(length('[ELEMENT: ' || element_id || ']' || chr(10) || text)) AS unit_size, row_number() OVER (PARTITION BY doc_id ORDER BY min(ord)) AS unit_no FROM ({_GROUPED}) GROUP BY doc_id, group_no, path)"),
+    "grouped_chunks": (lambda s, d: chunks.chunk_numbers(_grouped_units(s, d), SMALL).select("doc_id", "ord", "group_no", "chunk_no"), _GROUPED_CHUNKS_SQL),
 }
