@@ -41,11 +41,13 @@ def _catalog(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality") == 1, "completed").when(F.col("quality") == 0, "failed").otherwise("uploaded")
     kind = F.when(F.col("source") == "src0", "srs").when(F.col("source") == "src1", "api").otherwise("unknown")
-    return table(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", F.concat("source", F.lit(" "), "lang").alias("title"), kind.alias("doc_type"), status.alias("status"), F.col("text").alias("raw_text"))
+    meta = F.when(F.col("quality") == 1, F.concat(F.lit('{"chars": '), F.col("n_chars").cast("string"), F.lit("}"))).when(F.col("quality") == 0, '{"chars": ')
+    return table(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", F.concat("source", F.lit(" "), "lang").alias("title"), kind.alias("doc_type"), status.alias("status"), F.col("text").alias("raw_text"), F.when(F.col("quality").isNotNull(), "{}").alias("document_ir"), F.when(F.col("quality") == 1, "{}").alias("extracted_data"), meta.alias("extraction_meta"))
 
 
 _CATALOG_SQL = """SELECT d.doc_id, source || ' ' || lang AS title, CASE source WHEN 'src0' THEN 'srs' WHEN 'src1' THEN 'api' ELSE 'unknown' END AS doc_type,
- CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'failed' ELSE 'uploaded' END AS status, text AS raw_text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+ CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'failed' ELSE 'uploaded' END AS status, text AS raw_text,
+ CASE WHEN quality IS NOT NULL THEN '{}' END AS document_ir, CASE WHEN quality = 1 THEN '{}' END AS extracted_data, CASE WHEN quality = 1 THEN n_chars END AS chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 _NOT_BLANK = r"[^\s\x0B\x{85}\p{Z}]"
 _LINES_SQL = f"SELECT doc_id, source, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS parts FROM documents WHERE regexp_matches(text, '{_NOT_BLANK}')"
 _ELEMENTS_SQL = f"SELECT doc_id, i - 1 AS ord, printf('el-%04d', i) AS element_id, source AS section, kept[i] AS text FROM (SELECT doc_id, source, kept, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT doc_id, source, list_filter(parts, lambda x: regexp_matches(x, '{_NOT_BLANK}')) AS kept FROM ({_LINES_SQL})))"
@@ -84,10 +86,32 @@ def _log(spark, sf):
 _LOG_SQL = "SELECT user_id AS doc_id, CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'extracting' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, ts FROM events"
 
 
+def _patches(spark, sf):
+    """Two patches of failed documents, a title first and a text next; one without a field for toxic ones; ids that are unknown."""
+    t = _catalog(spark, sf)
+    none = F.lit(None).cast("string")
+    failed = t.where("status = 'failed'").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("patch_no"), "raw_text")
+    first = F.when(F.col("patch_no") == 1, "retry").otherwise(none)
+    text = F.when(F.col("patch_no") == 1, F.col("raw_text")).when(F.col("doc_id") % 2 == 0, F.concat("raw_text", F.lit("!")))
+    empty = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit(3).alias("patch_no"), none.alias("title"), none.alias("raw_text"))
+    unknown = t.where("status = 'completed'").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(1).alias("patch_no"), F.lit("x").alias("title"), none.alias("raw_text"))
+    return failed.select("doc_id", "patch_no", first.alias("title"), text.alias("raw_text")).unionByName(empty).unionByName(unknown)
+
+
 def _patched(spark, sf):
-    docs = _catalog(spark, sf)
-    new = docs.where("status = 'failed'").select("doc_id", F.concat(F.lit("retry "), "title").alias("title"), F.lit(None).cast("string").alias("raw_text"))
-    return catalog.apply_patches(docs, new).select("doc_id", "title", "doc_type", "status")
+    found, _ = catalog.apply_patches(_catalog(spark, sf), _patches(spark, sf))
+    return found.select("doc_id", "title", "status", F.length("raw_text").alias("chars"), F.col("document_ir").isNotNull().alias("has_document_ir"), F.col("extracted_data").isNotNull().alias("has_extracted_data"))
+
+
+def _rejected(spark, sf):
+    return catalog.apply_patches(_catalog(spark, sf), _patches(spark, sf))[1].select("doc_id", "patch_no", "reason")
+
+
+def _deleted(spark, sf):
+    """Rows that stay of the catalog and of what hangs on a document, without those of toxic documents."""
+    left = catalog.delete_documents(table(spark, sf, "labels").where("toxic = 1"), catalog=_catalog(spark, sf), elements=_elements(spark, sf), labels=table(spark, sf, "labels"))
+    rows = [left[name].groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("kept"), "doc_id", "n") for name in sorted(left)]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def _outline(spark, sf):
@@ -126,11 +150,12 @@ _REGISTRY = {
     "bind_evidence": (_bound, _BOUND_SQL),
     "dangling_evidence": (lambda s, d: objects.dangling_evidence(_named(s, d), order_elements(s, d)), f"SELECT doc_id, object_id, evidence_id FROM ({_NAMED_SQL}) n WHERE NOT EXISTS (SELECT 1 FROM ({ORDER_ELEMENTS_SQL}) e WHERE e.doc_id = n.doc_id AND e.element_id = n.evidence_id)"),
     "evidence_coverage": (lambda s, d: objects.evidence_coverage(_objects(s, d), _bound(s, d)), f"SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS evidence_count, count(*) AS objects_total, count(n) AS objects_with_evidence, round(count(n) / count(*), 4) AS coverage FROM ({_OBJECTS_SQL}) LEFT JOIN (SELECT doc_id, object_id, count(*) AS n FROM ({_BOUND_SQL}) GROUP BY ALL) USING (doc_id, object_id) GROUP BY doc_id"),
-    "list_documents": (lambda s, d: catalog.list_documents(_catalog(s, d)), f"SELECT doc_id, title, doc_type, status, raw_text IS NOT NULL AS has_raw_text FROM ({_CATALOG_SQL}) ORDER BY doc_id DESC"),
+    "list_documents": (lambda s, d: catalog.list_documents(_catalog(s, d)).withColumn("chars", F.coalesce(F.try_variant_get("extraction_meta", "$.chars", "long"), F.lit(-1))).drop("extraction_meta"), f"SELECT doc_id, title, doc_type, status, raw_text IS NOT NULL AS has_raw_text, document_ir IS NOT NULL AS has_document_ir, extracted_data IS NOT NULL AS has_extracted_data, coalesce(chars, -1) AS chars FROM ({_CATALOG_SQL}) ORDER BY doc_id DESC"),
     "search_documents": (lambda s, d: catalog.search_documents(_catalog(s, d), "EN", ("completed", "uploaded"), ("srs", "api")).select("doc_id", "title", "doc_type", "status"), f"SELECT doc_id, title, doc_type, status FROM ({_CATALOG_SQL}) WHERE contains(lower(title), 'en') AND status IN ('completed', 'uploaded') AND doc_type IN ('srs', 'api')"),
     "catalog_facets": (lambda s, d: catalog.facets(_catalog(s, d)), f"SELECT 'status' AS facet, status AS value, count(*) AS n FROM ({_CATALOG_SQL}) GROUP BY status UNION ALL SELECT 'doc_type', doc_type, count(*) FROM ({_CATALOG_SQL}) GROUP BY doc_type"),
-    "apply_patches": (_patched, f"SELECT doc_id, CASE status WHEN 'failed' THEN 'retry ' || title ELSE title END AS title, doc_type, status FROM ({_CATALOG_SQL})"),
-    "delete_documents": (lambda s, d: catalog.delete_documents(_catalog(s, d), table(s, d, "labels").where("toxic = 1")).select("doc_id", "title"), f"SELECT doc_id, title FROM ({_CATALOG_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
+    "apply_patches": (_patched, f"SELECT doc_id, CASE status WHEN 'failed' THEN 'retry' ELSE title END AS title, status, length(raw_text) + CASE WHEN status = 'failed' AND doc_id % 2 = 0 THEN 1 ELSE 0 END AS chars, document_ir IS NOT NULL AND NOT (status = 'failed' AND doc_id % 2 = 0) AS has_document_ir, extracted_data IS NOT NULL AS has_extracted_data FROM ({_CATALOG_SQL})"),
+    "rejected_patches": (_rejected, f"SELECT doc_id, 3 AS patch_no, 'no field' AS reason FROM labels WHERE toxic = 1 UNION ALL SELECT -doc_id - 1, 1, 'unknown document' FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 2, 'no field' FROM labels WHERE quality = 0 AND doc_id % 2 = 1"),
+    "delete_documents": (_deleted, f"SELECT * FROM (SELECT 'catalog' AS kept, doc_id, 1 AS n FROM documents UNION ALL SELECT 'labels', doc_id, 1 FROM labels UNION ALL SELECT 'elements', doc_id, count(*) FROM ({_ELEMENTS_SQL}) GROUP BY doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
     "latest_status": (lambda s, d: catalog.latest_status(_log(s, d)), f"SELECT doc_id, arg_max(status, ts) AS status, max(ts) AS ts, arg_max(status, ts) IN ('pending', 'uploaded', 'parsing', 'extracting') AS active FROM ({_LOG_SQL}) GROUP BY doc_id"),
     "document_outline": (lambda s, d: _outline(s, d).select("doc_id", F.array_join("sections", "|").alias("sections"), F.array_join("main_topics", "|").alias("main_topics")), f"SELECT doc_id, string_agg(section, '|' ORDER BY o) AS sections, string_agg(section, '|' ORDER BY o) AS main_topics FROM (SELECT doc_id, section, min(ord) AS o FROM ({TURNS_SQL}) GROUP BY ALL) GROUP BY doc_id"),
     "summary_inputs": (lambda s, d: inference.summary_inputs(table(s, d, "documents"), inference.document_outline(_elements(s, d))), f"SELECT d.doc_id, substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 12000) AS text, CASE WHEN e.doc_id IS NOT NULL THEN '{{\"sections\":[\"' || source || '\"],\"main_topics\":[\"' || source || '\"]}}' END AS outline FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_ELEMENTS_SQL})) e ON d.doc_id = e.doc_id"),
@@ -139,7 +164,7 @@ _REGISTRY = {
     "merge_document_fields": (_merged_fields, f"SELECT * FROM (SELECT doc_id, arg_max(description, length(description) * 1000000 - seq) AS description FROM ({CANDIDATES_SQL}) GROUP BY doc_id) JOIN (SELECT doc_id, string_agg(name, '|' ORDER BY o) AS names FROM (SELECT doc_id, name, min(seq) AS o FROM ({CANDIDATES_SQL}) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)"),
     "first_evidence": (lambda s, d: inference.first_evidence(_bound(s, d)), f"SELECT doc_id, object_id, element_id, text_span FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY object_id, element_id) AS n FROM ({_BOUND_SQL})) WHERE n = 1"),
     "patch_objects": (_patched_objects, f"SELECT doc_id, slot, object_id, CASE WHEN doc_id % 4 = 1 THEN 'fixed ' || name ELSE name END AS name, description FROM ({_OBJECTS_SQL})"),
-    "retry_selection": (lambda s, d: inference.retry_selection(_catalog(s, d), _elements(s, d).where("doc_id % 2 = 0")), f"SELECT doc_id, doc_type, NOT (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM ({_ELEMENTS_SQL}))) AS rebuild FROM ({_CATALOG_SQL}) WHERE doc_type IN ('srs', 'api') AND trim(raw_text) <> ''"),
+    "retry_selection": (lambda s, d: inference.retry_selection(_catalog(s, d), _elements(s, d).join(table(s, d, "labels"), "doc_id", "left_semi")), f"SELECT doc_id, doc_type, NOT (doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT doc_id FROM ({_ELEMENTS_SQL}))) AS rebuild FROM ({_CATALOG_SQL}) WHERE doc_type IN ('srs', 'api') AND trim(raw_text) <> ''"),
 } | evaluation_queries.REGISTRY | structure_queries.REGISTRY | record_queries.REGISTRY | layout_queries.REGISTRY | merging_queries.REGISTRY
 
 

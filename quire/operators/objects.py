@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,16 +104,54 @@ def item_view(objects: DataFrame, bound: DataFrame) -> DataFrame:
     return objects.join(found, ["doc_id", "object_id"], "left").select("doc_id", "object_id", "slot", title.alias("title"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
+def _grams(text: str, size: int, window: int, first: bool) -> np.ndarray:
+    """Of each window of neighbouring n-grams the one of least hash: a text that holds another has all that the other has.
+
+    first: only the one of the first window.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < size + window - 1:
+        return np.zeros(0, np.int64)
+    codes = codes[: size + window - 1] if first else codes
+    grams = np.zeros(len(codes) - size + 1, np.uint64)
+    for k in range(size):
+        grams = (grams ^ codes[k : k + len(grams)]) * np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, window).min(1)).view(np.int64)
+
+
+def _gram_column(size: int, window: int, first: bool):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def grams(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else _grams(t, size, window, first).tolist())
+
+    return grams
+
+
+#: n-grams by which spans find their elements (length, window): spans of fewer than length + window - 1 characters go to the next.
+GRAMS = ((8, 8), (3, 1), (1, 1))
+
+
 def resolve_targets(evidence: DataFrame, elements: DataFrame) -> DataFrame:
     """doc_id, object_id, element_id, target: the element with the id, else the first whose text holds the span; else NULL.
 
-    Elements have ord. Only evidence whose id is unknown meets the elements of its document.
+    Elements have ord. Texts are compared in lower case with single blanks. A span meets only the elements of its document
+    that have one of its n-grams, and of these those that hold it are kept. A span without a character finds nothing.
     """
-    known = elements.select("doc_id", "element_id").withColumn("target", F.col("element_id"))
+    known = elements.select("doc_id", "element_id").distinct().withColumn("target", F.col("element_id"))
     rows = evidence.join(known, ["doc_id", "element_id"], "left")
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    loose = rows.where("target is null and text_span <> ''").select("doc_id", "object_id", "element_id", plain(F.col("text_span")).alias("span")).distinct()
-    held = loose.join(elements.select("doc_id", "ord", F.col("element_id").alias("held_by"), plain(F.col("text")).alias("body")), "doc_id").where(F.contains("body", "span")).groupBy("doc_id", "object_id", "element_id").agg(F.min_by("held_by", "ord").alias("held_by"))
+    loose = rows.where("target is null").select("doc_id", "object_id", "element_id", merging.plain(F.col("text_span")).alias("span")).where("span <> ''").distinct()
+    bodies = elements.select("doc_id", "ord", F.col("element_id").alias("held_by"), merging.plain(F.col("text")).alias("body"))
+    held, longer = None, None
+    for size, window in GRAMS:
+        fits = F.length("span") >= size + window - 1
+        spans = loose.where(fits if longer is None else fits & (F.length("span") < longer))
+        longer = size + window - 1
+        asked = spans.withColumn("gram", F.explode(_gram_column(size, window, True)("span")))
+        index = bodies.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("gram", F.explode(_gram_column(size, window, False)("body")))
+        found = asked.join(index, ["doc_id", "gram"]).where(F.contains("body", "span")).select("doc_id", "object_id", "element_id", "ord", "held_by")
+        held = found if held is None else held.union(found)
+    held = held.groupBy("doc_id", "object_id", "element_id").agg(F.min_by("held_by", "ord").alias("held_by"))
     return rows.join(held, ["doc_id", "object_id", "element_id"], "left").select("doc_id", "object_id", "element_id", F.coalesce("target", "held_by").alias("target"))
 
 

@@ -156,23 +156,51 @@ def _manifest(spark, sf):
     return files.manifest_join(docs, found)
 
 
-def _streamed(spark, sf):
+def _refusing(request: str) -> str:
+    if "the" not in request:
+        raise ValueError("nothing to say")
+    return str(len(request))
+
+
+def _ingested(spark, sf):
     path = scratch(spark, "stream")
-    ingest.stream_ingest(ingest.table_stream(spark, sf, "documents"), path, f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/elements").groupBy("doc_id").agg(F.count("*").alias("elements"), F.sum(F.length("text")).alias("chars"))
+    ingest.stream_ingest(ingest.table_stream(spark, sf, "documents"), path, f"{path}/checkpoint", _refusing, max_chars=4000, tasks=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return path
+
+
+def _streamed(spark, sf):
+    return spark.read.parquet(f"{_ingested(spark, sf)}/elements").groupBy("doc_id").agg(F.count("*").alias("elements"), F.sum(F.length("text")).alias("chars"))
+
+
+def _stream_ends(spark, sf):
+    """Of each document the way that it went, and what its chunks answered."""
+    path = _ingested(spark, sf)
+    way = spark.read.parquet(f"{path}/status").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "status"))), lambda x: x["status"]), ",").alias("way"))
+    wrong = spark.read.parquet(f"{path}/quarantine").select("doc_id", F.col("step").alias("stopped"))
+    said = spark.read.parquet(f"{path}/responses").groupBy("doc_id").agg(F.sum(F.col("response").cast("long")).alias("answered"))
+    return way.join(wrong, "doc_id", "left").join(said, "doc_id", "left").select("doc_id", "way", F.coalesce("stopped", F.lit("")).alias("stopped"), F.coalesce("answered", F.lit(0)).alias("answered"))
 
 
 def _status_stream(spark, sf):
     path = scratch(spark, "status")
     ingest.stream_status(ingest.table_stream(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "signup", "uploaded").otherwise(F.col("event_type")).alias("status"), "ts"), f"{path}/latest", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/latest")
+    return ingest.current_status(spark, f"{path}/latest")
 
 
 _LINE_SAID = "SELECT l_orderkey AS doc_id, l_linenumber AS chunk_no, l_partkey, l_suppkey, CASE WHEN l_quantity < 4 THEN '' ELSE 'part ' || l_partkey END AS name, CASE l_linestatus WHEN 'O' THEN 'from ' || l_suppkey ELSE '' END AS description, l_returnflag, l_tax FROM lineitem"
 _CHUNKS = "SELECT conv_id AS doc_id, turn // 2 AS chunk_no, string_agg(printf('el-%04d', turn + 1), ',' ORDER BY turn) AS allowed, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY ALL"
 _KEPT_LINES = r"SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\s\x0B\x{85}\p{Z}]'))) AS line FROM documents"
 
+# A document is one section, so its lines fill chunks one after the other; over the limit the section is cut between lines.
+_STREAM_ENDS = rf"""WITH RECURSIVE e AS (SELECT doc_id, i, '[ELEMENT: ' || printf('el-%04d', i) || ']' || chr(10) || trim(kept[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(160) || chr(8195) || chr(12288)) AS marked FROM (SELECT doc_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\s\x0B\x{{85}}\p{{Z}}]')) AS kept FROM documents))),
+ u AS (SELECT *, length(marked) AS size, sum(length(marked)) OVER (PARTITION BY doc_id) > 4000 AS big FROM e),
+ f AS (SELECT doc_id, i, 1 AS chunk, size AS held FROM u WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, f.chunk + (u.big AND f.held + u.size > 4000)::INT, CASE WHEN u.big AND f.held + u.size > 4000 THEN u.size ELSE f.held + u.size END FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1),
+ c AS (SELECT doc_id, chunk, string_agg(marked, chr(10) || chr(10) ORDER BY i) AS text FROM u JOIN f USING (doc_id, i) GROUP BY ALL),
+ d AS (SELECT doc_id, bool_and(contains(text, 'the')) AS good, sum(length(text))::BIGINT AS answered FROM c GROUP BY doc_id)
+ SELECT o.doc_id, CASE WHEN d.doc_id IS NULL THEN 'uploaded,parsing,failed' WHEN good THEN 'uploaded,parsing,extracting,completed' ELSE 'uploaded,parsing,extracting,failed' END AS way, CASE WHEN d.doc_id IS NULL THEN 'parsing' WHEN good THEN '' ELSE 'extracting' END AS stopped, CASE WHEN good THEN answered ELSE 0 END AS answered FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id"""
+
 REGISTRY = {
+    "stream_ends": (_stream_ends, _STREAM_ENDS),
     "extraction_contracts": (_contracts, "SELECT doc_id, CASE source WHEN 'src0' THEN 'srs' WHEN 'src1' THEN 'api' ELSE 'unknown' END AS doc_type, CASE source WHEN 'src0' THEN 'functional_requirements,non_functional_requirements,business_flows' WHEN 'src1' THEN 'apis' ELSE '' END AS slots, CASE source WHEN 'src0' THEN 'system_name,target_users' WHEN 'src1' THEN 'base_url' ELSE '' END AS fields FROM documents"),
     "chunk_prompts": (_prompts, f"SELECT doc_id, chunk_no, sections, allowed, text FROM ({_CHUNKS}) JOIN (SELECT conv_id AS doc_id, string_agg(DISTINCT role, ',' ORDER BY role) AS sections FROM conversations GROUP BY ALL) USING (doc_id)"),
     "finalizer_inputs": (_finalizer, f"SELECT doc_id, '[' || string_agg('\"r' || chunk_no || '\"', ',' ORDER BY chunk_no) || ']' AS request FROM ({_CHUNKS}) WHERE n > 1 GROUP BY doc_id"),

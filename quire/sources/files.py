@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,11 +11,30 @@ from pyspark.sql import types as T
 ACCEPTED = {".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".txt": "text"}
 
 
+@F.pandas_udf(T.StringType())
+def _gbk(content: pd.Series) -> pd.Series:
+    """The bytes as GBK text; NULL where they are none."""
+    def decoded(raw: bytes | None) -> str | None:
+        try:
+            return None if raw is None else bytes(raw).decode("gbk")
+        except UnicodeDecodeError:
+            return None
+
+    return content.map(decoded)
+
+
 def scan_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of whole text files: UTF-8, or GBK where the bytes are no UTF-8 (set spark.sql.legacy.javaCharsets)."""
+    """path, content, encoding and error of whole text files: UTF-8, or GBK where the bytes are no UTF-8.
+
+    Spark lists and reads the files, from any store it knows; only bytes that are no UTF-8 go to Python. A file that is neither
+    has a NULL content and an error. Files of other extensions are left out, and Spark lists no empty files.
+    """
     files = spark.read.format("binaryFile").load(path).where(extension(F.col("path")).isin(".md", ".markdown", ".txt"))
-    text = F.col("content").cast("string")
-    return files.select("path", F.when(F.is_valid_utf8(text), text).otherwise(F.decode("content", "GBK")).alias("content"))
+    rows = files.select("path", F.col("content").alias("raw"), F.is_valid_utf8(F.col("content").cast("string")).alias("plain"))
+    good = rows.where("plain").select("path", F.col("raw").cast("string").alias("content"), F.lit("utf-8").alias("encoding"))
+    odd = rows.where("not plain").select("path", _gbk("raw").alias("content"), F.lit("gbk").alias("encoding"))
+    error = F.when(F.col("content").isNull(), "neither UTF-8 nor GBK")
+    return good.unionByName(odd).select("path", "content", F.when(error.isNull(), F.col("encoding")).alias("encoding"), error.alias("error"))
 
 
 def extension(path: Column) -> Column:
