@@ -26,6 +26,9 @@ RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Groups of letters; the most frequent letters that are dealt to them (others count in no group, which the budget allows).
 GROUPS, LETTERS = 12, 256
+#: Digits that stand for counts, and the next and the one before of each.
+DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UP, DOWN = dict(zip(DIGITS, DIGITS[1:])), dict(zip(DIGITS[1:], DIGITS))
 #: Words of a subtrie, and words that visit it, in one task; words that a subtrie should hold at the usual spread of counts.
 BLOCK, VISITS, USUAL = 4096, 32_768, 2048
 
@@ -41,7 +44,7 @@ def words(docs: DataFrame, every: int = 97, least_length: int = 5, least_count:
 
 
 def _counts(vocabulary: DataFrame) -> Column:
-    """A word's count of each group of letters."""
+    """A word's count of each group of letters, as one digit of DIGITS each; greater ones, which differ by no more then, as the last."""
     letters = vocabulary.select(F.explode(F.split("word", "")).alias("letter")).where("letter <> ''").groupBy("letter").count()
     groups = [[0, g, ""] for g in range(GROUPS)]
     for r in letters.orderBy(F.desc("count"), "letter").limit(LETTERS).collect():
@@ -50,32 +53,46 @@ def _counts(vocabulary: DataFrame) -> Column:
         lightest[2] += r["letter"]
     marks = [chr(0xE000 + g) for g in range(GROUPS)]
     marked = F.translate("word", "".join(g[2] for g in groups), "".join(m * len(g[2]) for g, m in zip(groups, marks, strict=True)))
-    return F.transform(F.array(*map(F.lit, marks)), lambda m: F.length(marked) - F.length(F.replace(marked, m, F.lit(""))))
+    counts = (F.length(marked) - F.length(F.replace(marked, F.lit(m), F.lit(""))) for m in marks)
+    return F.concat(*(F.substring(F.lit(DIGITS), F.least(c + 1, F.lit(len(DIGITS))), F.lit(1)) for c in counts))
 
 
-def _reached(levels: int) -> Column:
-    """The counts that the budget allows on the first levels: how they differ, and what surplus and deficit that takes."""
-    steps = [((), 0, 0)] + [(((g, d),), int(d > 0), int(d < 0)) for g in range(levels) for d in (1, -1)]
-    steps += [(((g, d), (h, -d)), 1, 1) for g, h in combinations(range(levels), 2) for d in (1, -1)]
-    rows = [F.struct(F.array(*(F.lit(dict(s).get(g, 0)) for g in range(levels))).alias("step"), F.lit(up).alias("surplus"), F.lit(down).alias("deficit")) for s, up, down in steps]
-    return F.explode(F.array(*rows))
+def _reached(top: Column, levels: int) -> Column:
+    """What the budget allows on the first levels: the counts, and what is left (2: all, 1: the deficit, 0: nothing).
+
+    Two words meet once: the surplus is spent on an earlier level than the deficit.
+    """
+    steps = [((), 2)] + [(((g, UP),), 1) for g in range(levels)] + [(((g, UP), (h, DOWN)), 0) for g, h in combinations(range(levels), 2)]
+
+    def moved(step) -> Column:
+        places = dict(step)
+        parts = [F.substring(top, g + 1, 1) for g in range(levels)]
+        return F.concat(*(F.create_map(*(F.lit(x) for pair in places[g].items() for x in pair))[c] if g in places else c for g, c in enumerate(parts)))
+
+    return F.explode(F.array(*(F.struct(moved(s).alias("to"), F.lit(left).alias("left")) for s, left in steps)))
 
 
-def _inserted(trie: dict, counts: list[int], word: str, n: int) -> None:
+def _inserted(trie: dict, counts: str, word: str, n: int) -> None:
     for count in counts[:-1]:
         trie = trie.setdefault(count, {})
     trie.setdefault(counts[-1], []).append((word, n))
 
 
-def _leaves(node, counts: list[int], depth: int, surplus: int, deficit: int):
-    """The words below node that the counts from depth on reach with the budget that is left; depth first."""
-    if depth == len(counts):
-        yield from node
-        return
-    own = counts[depth]
-    for count, up, down in ((own, 0, 0), (own + 1, 1, 0), (own - 1, 0, 1)):
-        if up <= surplus and down <= deficit and count in node:
-            yield from _leaves(node[count], counts, depth + 1, surplus - up, deficit - down)
+def _leaves(node: dict, counts: str, depth: int, left: int, found: list) -> None:
+    """Adds to found the leaves below node that the counts from depth on reach, and what is left of the budget there; depth first."""
+    while depth < len(counts):
+        own = counts[depth]
+        other = node.get((UP if left == 2 else DOWN).get(own)) if left else None
+        depth += 1
+        if other is not None:
+            if depth == len(counts):
+                found.append((other, left - 1))
+            else:
+                _leaves(other, counts, depth, left - 1, found)
+        node = node.get(own)
+        if node is None:
+            return
+    found.append((node, left))
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -88,13 +105,16 @@ def one_edit(a: str, b: str) -> bool:
 
 def _searched(key, held: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
     trie, out = {}, []
-    for word, n, rest in zip(held["word"], held["n"], held["rest"]):
-        _inserted(trie, list(rest), word, n)
-    for word, n, rest, surplus, deficit in zip(visits["word"], visits["n"], visits["rest"], visits["surplus"], visits["deficit"]):
-        for other, m in _leaves(trie, list(rest), 0, surplus, deficit):
-            # A pair of equal length is found from both ends, one of different lengths from the shorter.
-            if (len(other) > len(word) or word < other) and one_edit(word, other):
-                out.append((word, n, other, m))
+    for word, n, rest in zip(held["word"].tolist(), held["n"].tolist(), held["rest"].tolist()):
+        _inserted(trie, rest, word, n)
+    for word, n, rest, budget in zip(visits["visitor"].tolist(), visits["times"].tolist(), visits["path"].tolist(), visits["left"].tolist()):
+        found = []
+        _leaves(trie, rest, 0, budget, found)
+        for leaf, left in found:
+            for other, m in leaf:
+                # Of two words with equal counts the smaller finds the other, unless one is shorter: that one does.
+                if (left < 2 or len(other) > len(word) or word < other) and one_edit(word, other):
+                    out.append((word, n, other, m))
     return pd.DataFrame(out, columns=["a", "n_a", "b", "n_b"])
 
 
@@ -103,12 +123,13 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     total = vocabulary.count()
     levels = next(t for t in range(2, GROUPS) if t == GROUPS - 1 or 3**t * USUAL >= total)
     counted = vocabulary.select("word", "n", _counts(vocabulary).alias("counts"))
-    first, rest = F.slice("counts", 1, levels), F.slice("counts", levels + 1, GROUPS)
-    counted = written(counted.select("word", "n", first.alias("first"), rest.alias("rest")), "counted-words")
-    subtries = counted.groupBy(F.col("first").alias("top")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sent = counted.select("*", _reached(levels).alias("x")).select("word", "n", "rest", (1 - F.col("x.surplus")).alias("surplus"), (1 - F.col("x.deficit")).alias("deficit"), F.zip_with("first", "x.step", lambda a, b: a + b).alias("top"))
-    sent = written(sent.join(subtries, "top"), "visits")
-    sizes = sent.groupBy("top").agg(F.max("blocks").alias("blocks"), F.ceil(F.count("*") / VISITS).alias("parts"))
+    counted = written(counted.select("word", "n", F.substring("counts", 1, levels).alias("top"), F.substring("counts", levels + 1, GROUPS).alias("rest")), "counted-words")
+    tops = written(counted.groupBy("top").agg(F.count("*").alias("held")), "subtries")
+    # Which subtries the words of one visit, and how many visits each has, follow from the subtries alone.
+    visited = tops.select("top", "held", _reached(F.col("top"), levels).alias("x")).select("top", "held", F.col("x.to").alias("to"), F.col("x.left").alias("left")).where("to is not null")
+    sizes = tops.select(F.col("top").alias("to"), F.ceil(F.col("held") / BLOCK).alias("blocks"))
+    sizes = sizes.join(visited.groupBy("to").agg(F.ceil(F.sum("held") / VISITS).alias("parts")), "to")
+    ways = written(visited.drop("held").join(sizes, "to"), "visited-subtries")
 
     def one_of(parts: str) -> Column:
         return F.pmod(F.xxhash64("word"), F.col(parts))
@@ -116,9 +137,9 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     def each(parts: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
 
-    held = counted.withColumnRenamed("first", "top").join(sizes, "top").select("top", one_of("blocks").alias("block"), "word", "n", "rest", each("parts").alias("part"))
-    visits = sent.drop("blocks").join(sizes, "top").select("top", "word", "n", "rest", "surplus", "deficit", one_of("parts").alias("part"), each("blocks").alias("block"))
-    keys = ["top", "block", "part"]
+    held = counted.withColumnRenamed("top", "to").join(sizes, "to").select("to", one_of("blocks").alias("block"), "word", "n", "rest", each("parts").alias("part"))
+    visits = counted.join(ways, "top").select("to", F.col("word").alias("visitor"), F.col("n").alias("times"), F.col("rest").alias("path"), "left", one_of("parts").alias("part"), each("blocks").alias("block"))
+    keys = ["to", "block", "part"]
     return held.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(_searched, "a string, n_a long, b string, n_b long")
 
 
