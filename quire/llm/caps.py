@@ -37,6 +37,8 @@ from .vectors import finite, matrices
 CODES, BLOCKS = 32, 3
 #: Classes in a filter from which balls are sought; members of a ball that are compared at a time.
 CROWD, MEMBERS = 8, 64
+#: Parts of a large ball that are joined apart.
+PARTS = 32
 _EDGE = 1e-9
 
 
@@ -198,9 +200,13 @@ def near_duplicates(table: DataFrame, id_column: str = "vec_id", vector: str = "
     balls = written(_balls(classes, passed, cosine), "balls")
 
     members = classes.join(balls, "key", "left").withColumn("ball", F.coalesce("ball", "key"))
-    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("in_ball") / MEMBERS))
-    sized = members.groupBy("ball").agg(F.count("*").alias("in_ball"), F.sum("n").alias("ball_rows"))
-    members = written(members.join(sized, "ball").select("key", "v", "size", "n", "first_id", "ball", "in_ball", "ball_rows", block.alias("block")), "members")
+    # Balls of more than one class get their size by a part of the ball, so that a large one is not in one task.
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    sized = members.groupBy("ball").agg(F.count("*").alias("in_ball"), F.sum("n").alias("ball_rows")).where("in_ball > 1")
+    sized = sized.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    members = members.withColumn("part", part).join(sized, ["ball", "part"], "left").withColumns({"in_ball": F.coalesce("in_ball", F.lit(1)), "ball_rows": F.coalesce("ball_rows", "n")})
+    block = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("in_ball") / MEMBERS))
+    members = written(members.select("key", "v", "size", "n", "first_id", "ball", "in_ball", "ball_rows", block.alias("block")), "members")
     whole = F.struct("key", "n", "v")
     blocks = members.groupBy("ball", "block", "size").agg(F.collect_list(whole).alias("m"))  # about MEMBERS of them
     blocks = written(blocks.select("ball", "size", F.col("m.key").alias("keys"), F.col("m.n").alias("weights"), F.col("m.v").alias("vectors")), "blocks")
