@@ -27,6 +27,11 @@ SENTENCE_END, COLON = r"[.:;!?。：；！？]$", r"[:：]$"
 # Element types by block type.
 ELEMENT_TYPES = {"title": "heading", "paragraph": "paragraph", "quote": "paragraph", "section_break": "separator", "code": "code", "list": "paragraph", "table": "table", "image": "image"}
 
+# Titles in a requirements document that name a field of a requirement.
+FIELD_LABELS = ("需求编号", "需求描述", "优先级", "功能点", "验收标准")
+#: Levels of titles, and so the depth of a path.
+DEPTH = 6
+
 _TYPES = ("title", "section_break", "code", "table", "list", "quote", "paragraph")
 _FLAGS = ("blank", "heading", "thematic", "opens", "starts_table", "row", "item", "quote", "indented")
 
@@ -43,10 +48,12 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     heading unless it is long or ends a sentence, follows a colon, or opens a numbered list.
     """
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # What comes after a line is what comes before it from the document's end: a frame that grows by a row, made anew for none.
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     rows = lines.withColumn("body", stripped(F.col("line")))
     said = F.when(F.col("body") != "", F.col("body"))
-    rows = rows.withColumns({"earlier": F.last(said, ignorenulls=True).over(before), "later": F.first(said, ignorenulls=True).over(after), "next_body": F.lead("body").over(order)})
+    rows = rows.withColumns({"earlier": F.last(said, ignorenulls=True).over(before), "later": F.last(said, ignorenulls=True).over(after), "next_body": F.lead("body").over(order)})
     number, words = F.regexp_extract("body", NUMBERED, 1), F.regexp_extract("body", NUMBERED, 2)
     follows = F.try_to_number(F.split(F.regexp_extract("later", NUMBERED, 1), r"\.")[0], F.lit("999999999")) == F.try_to_number(number, F.lit("999999999")) + 1
     opens_list = ~number.contains(".") & F.coalesce(follows, F.lit(False))
@@ -172,22 +179,29 @@ def document_title(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.coalesce(one["text"], F.max(F.when(short, F.col("text")))).alias("title"))
 
 
-def section_paths(found: DataFrame) -> DataFrame:
-    """Adds section_path to the blocks: the titles above, by a stack that a title of level n cuts to n - 1.
+def is_field_label(title: Column) -> Column:
+    """Whether a title only names a field of a requirement, whatever marks, emphasis or colon it has."""
+    plain = F.regexp_replace(F.regexp_replace(title, r"(?U)^[#\s]+", ""), "[*_]", "")
+    return stripped(F.regexp_replace(stripped(plain), r"(?U)[\s:：]+$", "")).isin(*FIELD_LABELS)
 
-    The fold sees the titles only; other blocks take the path of the last title before them.
-    """
-    start = F.array().cast("array<struct<block_no:int,path:array<string>>>")
 
-    def step(done, x):
-        path = F.concat(F.slice(F.coalesce(F.try_element_at(done, F.lit(-1))["path"], F.array().cast("array<string>")), 1, F.least(F.greatest(x.level, F.lit(1)), F.lit(6)) - 1), F.array(x["text"]))
-        return F.concat(done, F.array(F.struct(x.block_no.alias("block_no"), path.alias("path"))))
+def section_paths(found: DataFrame) -> DataFrame:
+    """Adds section_path to the blocks: the titles above, of which a title of level n leaves n - 1 and then adds itself.
 
-    titles = found.where("type = 'title' and text <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "level", "text"))).alias("titles"))
-    paths = titles.select("doc_id", F.explode(F.aggregate("titles", start, step)).alias("x")).select("doc_id", "x.block_no", "x.path")
+    The i-th title so stands at depth min(depth before + 1, level), which is i plus the least of 0 and level - number so far:
+    a running minimum. The title at each depth is the last one there. Where the blocks have a doc_type, titles of srs that
+    only name a field open no section.
+    """
     order = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    joined = found.join(paths, ["doc_id", "block_no"], "left")
-    return joined.withColumn("section_path", F.coalesce(F.last("path", ignorenulls=True).over(order), F.array().cast("array<string>"))).drop("path")
+    opens = (F.col("type") == "title") & (stripped(F.col("text")) != "")
+    if "doc_type" in found.columns:
+        opens = opens & ~F.coalesce((F.lower("doc_type") == "srs") & is_field_label(F.col("text")), F.lit(False))
+    level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(DEPTH))
+    rows = found.withColumn("opens", F.coalesce(opens, F.lit(False))).withColumn("number", F.sum(F.col("opens").cast("int")).over(order))
+    rows = rows.withColumn("depth", F.col("number") + F.least(F.lit(0), F.coalesce(F.min(F.when(F.col("opens"), level - F.col("number"))).over(order), F.lit(0))))
+    # Between two titles the number stands still, and so does the depth.
+    titles = F.array(*(F.last(F.when(F.col("opens") & (F.col("depth") == d), stripped(F.col("text"))), ignorenulls=True).over(order) for d in range(1, DEPTH + 1)))
+    return rows.withColumn("section_path", F.slice(titles, 1, F.col("depth").cast("int"))).drop("opens", "number", "depth")
 
 
 def elements(sectioned: DataFrame) -> DataFrame:

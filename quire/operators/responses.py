@@ -16,12 +16,11 @@ from pyspark.sql import types as T
 
 from .blocks import stripped
 from .json_repair import repaired
+from .schemas import IGNORED, RULES, document_type
 
 FENCED = r"(?is)```(?:json)?\s*(.*?)\s*```"
+CONTRACT = "struct<doc_type string, document_fields array<string>, target_slots array<string>, rules array<string>, ignore_sections array<string>>"
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
-# Sections that no request holds.
-IGNORED = ("术语表", "术语定义", "参考资料", "参考文献", "附录", "references", "glossary")
-
 
 def contract(schema: T.StructType) -> tuple[list[str], list[str]]:
     """Slots (lists of records with evidence) and the other fields of a document type's schema."""
@@ -32,23 +31,41 @@ def contract(schema: T.StructType) -> tuple[list[str], list[str]]:
     return [f.name for f in schema if is_slot(f)], [f.name for f in schema if not is_slot(f) and f.name not in ("doc_id", "doc_type", "version", "title")]
 
 
-def with_contracts(docs: DataFrame, schemas: dict[str, T.StructType]) -> DataFrame:
-    """Adds target_slots and document_fields of a document's type; empty for unknown types. There is a row for each type."""
-    rows = [(t, *contract(s)) for t, s in schemas.items()]
-    dimension = docs.sparkSession.createDataFrame(rows, "doc_type string, target_slots array<string>, document_fields array<string>")
-    none = F.array().cast("array<string>")
-    return docs.join(F.broadcast(dimension), "doc_type", "left").withColumns({c: F.coalesce(c, none) for c in ("target_slots", "document_fields")})
+def with_contracts(docs: DataFrame, schemas: dict[str, T.StructType], rules: tuple[str, ...] = RULES, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """Adds contract (doc_type, document_fields, target_slots, rules, ignore_sections) by the document's type, NULL for unknown types.
+
+    The contracts are one row for each type.
+    """
+    rows = [(t, (t, fields, slots, list(rules), list(ignored))) for t, schema in schemas.items() for slots, fields in (contract(schema),)]
+    dimension = docs.sparkSession.createDataFrame(rows, f"known_type string, contract {CONTRACT}")
+    return docs.join(F.broadcast(dimension), document_type(F.col("doc_type")) == F.col("known_type"), "left").drop("known_type")
 
 
-def chunk_prompts(chunks: DataFrame, outline: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, request (JSON of the outline, the chunk, the ids it may cite, and its text)."""
-    return chunks.join(outline.select("doc_id", "sections"), "doc_id", "left").select("doc_id", "chunk_no", F.to_json(F.struct("sections", "chunk_no", "allowed", "text")).alias("request"))
+def chunk_prompts(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, request (JSON), summary (of the chunk, for error rows).
 
+    chunks are those of chunk_summary. documents has doc_id, outline (JSON), document_summary and contract; blank summaries
+    are left out. The request holds what a caller needs to ask about one chunk: the outline, the summary, the contract, the
+    chunk's id, section, pages and the only ids that it may cite, and the marked text.
+    """
+    chunk = F.struct("chunk_id", F.col("section").alias("section_path"), "page_start", "page_end", F.col("element_ids").alias("allowed_evidence_element_ids"))
+    said = F.nullif(stripped(F.col("document_summary")), F.lit(""))
+    request = F.to_json(F.struct(F.try_parse_json("outline").alias("outline"), said.alias("summary"), "contract", chunk.alias("chunk"), F.col("markdown").alias("text")))
+    pages = F.concat_ws("-", F.col("page_start").cast("string"), F.nullif(F.col("page_end"), F.col("page_start")).cast("string"))
+    summary = F.concat_ws(" ", "chunk_id", F.nullif(F.concat(F.lit("["), F.coalesce("section", F.lit("")), F.lit("]")), F.lit("[]")), F.nullif(F.concat(F.lit("pages "), pages), F.lit("pages ")), F.concat(F.col("elements").cast("string"), F.lit(" elements")), F.concat(F.length("markdown").cast("string"), F.lit(" characters")))
+    return chunks.join(documents.select("doc_id", "outline", "document_summary", "contract"), "doc_id").select("doc_id", "chunk_id", request.alias("request"), summary.alias("summary"))
 
-def finalizer_inputs(results: DataFrame) -> DataFrame:
-    """doc_id, request: all results of a document's chunks in order, as JSON; never the elements."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "response"))), lambda x: x.response)
-    return results.where("response is not null").groupBy("doc_id").agg(F.to_json(rows).alias("request"))
+
+def finalizer_inputs(results: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, request (JSON): the outline, summary and contract of a document and all results of its chunks, in order; never the elements.
+
+    results has doc_id, chunk_no and response (JSON; one that is none is left out). Documents without results have no row.
+    """
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "response"))), lambda x: F.try_parse_json(x["response"]))
+    found = results.where(F.try_parse_json("response").isNotNull()).groupBy("doc_id").agg(rows.alias("candidates"))
+    said = F.nullif(stripped(F.col("document_summary")), F.lit(""))
+    request = F.to_json(F.struct(F.try_parse_json("outline").alias("outline"), said.alias("summary"), "contract", "candidates"))
+    return found.join(documents.select("doc_id", "outline", "document_summary", "contract"), "doc_id").select("doc_id", request.alias("request"))
 
 
 def batch_infer(requests: DataFrame, call: Callable[[str], str], tasks: int, pool: int = 4, timeout: float | None = None, retries: int = 0, pause: float = 0.0) -> DataFrame:

@@ -5,48 +5,55 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import objects, responses, structure
+from .operators import chunks, objects, responses, schemas, structure
 from .session import scratch
 from .sources import files
-from .sources.tables import ORDER_ELEMENTS_SQL, labelled_items, order_elements, table
+from .sources.tables import ORDER_ELEMENTS_SQL, TURNS_SQL, labelled_items, order_elements, table, turns
 from .streaming import ingest
 
 
-def _schema(fields: str, slots: str) -> T.StructType:
-    record = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("evidence_element_ids", T.ArrayType(T.StringType()))]))
-    return T.StructType([*(T.StructField(f, T.StringType()) for f in fields.split()), *(T.StructField(s, record) for s in slots.split())])
-
-
-# The fields and slots of two document types.
-SCHEMAS = {"srs": _schema("doc_id title system_name target_users", "functional_requirements non_functional_requirements business_flows"), "api": _schema("doc_id title base_url", "apis")}
+SCHEMAS = {t: schemas.schema_of(t) for t in schemas.TYPES}
+_TYPE_OF = {"src0": " SRS", "src1": "api", "src2": "Hld　", "src3": "tc", "src4": "dbdd", "src5": "unknown"}
 
 
 def _typed(spark, sf):
-    kind = F.when(F.col("source") == "src0", "srs").when(F.col("source") == "src1", "api").otherwise("unknown")
+    kind = F.create_map(*(F.lit(x) for pair in _TYPE_OF.items() for x in pair))[F.col("source")]
     return table(spark, sf, "documents").select("doc_id", kind.alias("doc_type"))
 
 
 def _contracts(spark, sf):
     found = responses.with_contracts(_typed(spark, sf), SCHEMAS)
-    return found.select("doc_id", "doc_type", F.array_join("target_slots", ",").alias("slots"), F.array_join("document_fields", ",").alias("fields"))
+    joined = lambda c: F.coalesce(F.array_join(f"contract.{c}", ","), F.lit(""))
+    return found.select("doc_id", F.coalesce("contract.doc_type", F.lit("")).alias("doc_type"), joined("target_slots").alias("slots"), joined("document_fields").alias("fields"), F.coalesce(F.size("contract.rules"), F.lit(0)).alias("rules"), joined("ignore_sections").alias("ignored"))
 
 
 def _turn_chunks(spark, sf):
-    t = table(spark, sf, "conversations").withColumn("chunk_no", F.expr("turn DIV 2"))
-    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return t.groupBy(F.col("conv_id").alias("doc_id"), "chunk_no").agg(F.transform(rows, lambda x: F.format_string("el-%04d", x.turn + 1)).alias("allowed"), F.array_join(F.transform(rows, lambda x: x.text), "\n\n").alias("text"))
+    """Two turns of a conversation are a chunk."""
+    t = turns(spark, sf).withColumn("chunk_no", F.expr("ord DIV 2"))
+    return chunks.chunk_summary(chunks.render_markers(t))
+
+
+def _asked(spark, sf):
+    """Conversations as documents: the outline of their roles, a summary for some, the contract of a type by their number."""
+    outline = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_set("role")).alias("sections"))).alias("outline"))
+    kind = F.when(F.col("doc_id") % 3 == 0, "srs").when(F.col("doc_id") % 3 == 1, "api").otherwise("unknown")
+    summary = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("　about "), F.col("doc_id").cast("string"))).otherwise(" ")
+    return responses.with_contracts(outline.select("doc_id", "outline", summary.alias("document_summary"), kind.alias("doc_type")), SCHEMAS)
+
+
+_REQUEST = "outline struct<sections array<string>>, summary string, contract struct<doc_type string, target_slots array<string>, rules array<string>>, chunk struct<chunk_id string, section_path string, page_start long, page_end long, allowed_evidence_element_ids array<string>>, text string, candidates array<struct<r long>>"
 
 
 def _prompts(spark, sf):
-    outline = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_set("role")).alias("sections"))
-    found = responses.chunk_prompts(_turn_chunks(spark, sf), outline)
-    back = F.from_json("request", "sections array<string>, chunk_no long, allowed array<string>, text string")
-    return found.select("doc_id", "chunk_no", back.alias("r")).select("doc_id", "chunk_no", F.array_join("r.sections", ",").alias("sections"), F.array_join("r.allowed", ",").alias("allowed"), "r.text")
+    found = responses.chunk_prompts(_turn_chunks(spark, sf), _asked(spark, sf)).withColumn("r", F.from_json("request", _REQUEST))
+    return found.select("doc_id", "chunk_id", "summary", F.array_join("r.outline.sections", ",").alias("sections"), F.coalesce("r.summary", F.lit("")).alias("about"), F.coalesce("r.contract.doc_type", F.lit("")).alias("doc_type"), F.coalesce(F.array_join("r.contract.target_slots", ","), F.lit("")).alias("slots"), F.col("r.chunk.section_path").alias("section"), F.col("r.chunk.page_start").alias("page_start"), F.col("r.chunk.page_end").alias("page_end"), F.array_join("r.chunk.allowed_evidence_element_ids", ",").alias("allowed"), "r.text")
 
 
 def _finalizer(spark, sf):
-    rows = _turn_chunks(spark, sf).select("doc_id", "chunk_no", F.when(F.size("allowed") > 1, F.concat(F.lit("r"), F.col("chunk_no").cast("string"))).alias("response"))
-    return responses.finalizer_inputs(rows)
+    t = turns(spark, sf).withColumn("chunk_no", F.expr("ord DIV 2")).groupBy("doc_id", "chunk_no").agg(F.count("*").alias("n"))
+    rows = t.select("doc_id", "chunk_no", F.when(F.col("n") > 1, F.concat(F.lit('{"r": '), F.col("chunk_no").cast("string"), F.lit("}"))).otherwise("{cut").alias("response"))
+    found = responses.finalizer_inputs(rows, _asked(spark, sf)).withColumn("r", F.from_json("request", _REQUEST))
+    return found.select("doc_id", F.array_join(F.col("r.candidates.r").cast("array<string>"), ",").alias("results"), F.array_join("r.outline.sections", ",").alias("sections"), F.coalesce("r.summary", F.lit("")).alias("about"), F.coalesce(F.array_join("r.contract.target_slots", ","), F.lit("")).alias("slots"))
 
 
 def _rule(request: str) -> str:
@@ -137,8 +144,9 @@ def _json_items(spark, sf):
 
 def _saved(spark, sf):
     path = scratch(spark, "catalog")
-    files.write_catalog(_typed(spark, sf), path)
-    files.write_catalog(_typed(spark, sf).where("doc_type = 'srs'"), path)
+    typed = _typed(spark, sf).withColumn("doc_type", F.coalesce(schemas.document_type(F.col("doc_type")), F.lit("unknown")))
+    files.write_catalog(typed, path)
+    files.write_catalog(typed.where("doc_type = 'srs'"), path)
     return spark.read.parquet(path).groupBy("doc_type").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
@@ -188,7 +196,11 @@ def _status_stream(spark, sf):
 
 
 _LINE_SAID = "SELECT l_orderkey AS doc_id, l_linenumber AS chunk_no, l_partkey, l_suppkey, CASE WHEN l_quantity < 4 THEN '' ELSE 'part ' || l_partkey END AS name, CASE l_linestatus WHEN 'O' THEN 'from ' || l_suppkey ELSE '' END AS description, l_returnflag, l_tax FROM lineitem"
-_CHUNKS = "SELECT conv_id AS doc_id, turn // 2 AS chunk_no, string_agg(printf('el-%04d', turn + 1), ',' ORDER BY turn) AS allowed, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY ALL"
+_SLOTS = {t: ",".join(slots) for t, (_, slots) in schemas.TYPES.items()}
+_CASES = " ".join(f"WHEN '{s}' THEN '{t.strip().lower()}'" for s, t in _TYPE_OF.items() if t != "unknown")
+_CHUNKS = """SELECT doc_id, ord // 2 AS chunk_no, printf('chunk-%04d', ord // 2) AS chunk_id, arg_min(section, ord) AS section, min(page) AS page_start, max(page) AS page_end, count(*) AS n, string_agg(element_id, ',' ORDER BY ord) AS allowed,
+ string_agg('[ELEMENT: ' || element_id || ' page=' || page || ']' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY ord) AS text FROM (""" + TURNS_SQL + ") GROUP BY ALL"
+_ASKED = f"SELECT conv_id AS doc_id, string_agg(DISTINCT role, ',' ORDER BY role) AS sections, CASE WHEN conv_id % 2 = 0 THEN 'about ' || conv_id ELSE '' END AS about, CASE conv_id % 3 WHEN 0 THEN 'srs' WHEN 1 THEN 'api' ELSE '' END AS doc_type, CASE conv_id % 3 WHEN 0 THEN '{_SLOTS['srs']}' WHEN 1 THEN 'apis' ELSE '' END AS slots FROM conversations GROUP BY conv_id"
 _KEPT_LINES = r"SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\s\x0B\x{85}\p{Z}]'))) AS line FROM documents"
 
 # A document is one section, so its lines fill chunks one after the other; over the limit the section is cut between lines.
@@ -201,9 +213,9 @@ _STREAM_ENDS = rf"""WITH RECURSIVE e AS (SELECT doc_id, i, '[ELEMENT: ' || print
 
 REGISTRY = {
     "stream_ends": (_stream_ends, _STREAM_ENDS),
-    "extraction_contracts": (_contracts, "SELECT doc_id, CASE source WHEN 'src0' THEN 'srs' WHEN 'src1' THEN 'api' ELSE 'unknown' END AS doc_type, CASE source WHEN 'src0' THEN 'functional_requirements,non_functional_requirements,business_flows' WHEN 'src1' THEN 'apis' ELSE '' END AS slots, CASE source WHEN 'src0' THEN 'system_name,target_users' WHEN 'src1' THEN 'base_url' ELSE '' END AS fields FROM documents"),
-    "chunk_prompts": (_prompts, f"SELECT doc_id, chunk_no, sections, allowed, text FROM ({_CHUNKS}) JOIN (SELECT conv_id AS doc_id, string_agg(DISTINCT role, ',' ORDER BY role) AS sections FROM conversations GROUP BY ALL) USING (doc_id)"),
-    "finalizer_inputs": (_finalizer, f"SELECT doc_id, '[' || string_agg('\"r' || chunk_no || '\"', ',' ORDER BY chunk_no) || ']' AS request FROM ({_CHUNKS}) WHERE n > 1 GROUP BY doc_id"),
+    "extraction_contracts": (_contracts, "SELECT doc_id, doc_type, slots, CASE doc_type WHEN 'srs' THEN 'system_name,target_users' WHEN 'hld' THEN 'architecture_style,technology_stack' WHEN 'api' THEN 'base_url' WHEN 'tc' THEN 'test_scope' WHEN 'dbdd' THEN 'db_name,db_type' ELSE '' END AS fields, CASE WHEN doc_type = '' THEN 0 ELSE 5 END AS rules, CASE WHEN doc_type = '' THEN '' ELSE '术语表,术语定义,参考资料,参考文献,附录,references,glossary' END AS ignored FROM (SELECT doc_id, doc_type, CASE doc_type WHEN 'srs' THEN 'functional_requirements,non_functional_requirements,business_flows' WHEN 'hld' THEN 'modules,core_flows,design_decisions' WHEN 'api' THEN 'apis' WHEN 'tc' THEN 'test_cases' WHEN 'dbdd' THEN 'tables' ELSE '' END AS slots FROM (SELECT doc_id, CASE source " + _CASES + " ELSE '' END AS doc_type FROM documents))"),
+    "chunk_prompts": (_prompts, f"SELECT doc_id, chunk_id, chunk_id || ' [' || section || '] pages ' || page_start || CASE WHEN page_end <> page_start THEN '-' || page_end ELSE '' END || ' ' || n || ' elements ' || length(text) || ' characters' AS summary, sections, about, doc_type, slots, section, page_start, page_end, allowed, text FROM ({_CHUNKS}) JOIN ({_ASKED}) USING (doc_id)"),
+    "finalizer_inputs": (_finalizer, f"SELECT * FROM (SELECT doc_id, string_agg(chunk_no, ',' ORDER BY chunk_no) AS results FROM ({_CHUNKS}) WHERE n > 1 GROUP BY doc_id) JOIN (SELECT doc_id, sections, about, slots FROM ({_ASKED})) USING (doc_id)"),
     "batch_infer": (_inferred, "SELECT o_orderkey AS doc_id, o_orderpriority AS request, CASE WHEN o_orderpriority NOT LIKE '1%' THEN lower(o_orderpriority) END AS response, CASE WHEN o_orderpriority LIKE '1%' THEN 'ValueError: ' || o_orderpriority END AS error FROM orders"),
     "parse_llm_json": (_parsed, "SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'repaired' WHEN 'purchase' THEN 'repaired' ELSE 'parsed' END AS outcome, CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS k FROM events"),
     "trim_strings": (_trimmed, "SELECT p_partkey, p_name AS name, p_name || '|x' AS tags, p_brand AS brand, p_size AS size FROM part"),
@@ -217,7 +229,7 @@ REGISTRY = {
     "route_by_extension": (lambda s, d: files.route_by_extension(table(s, d, "pages").select("page_id", "url"), "url").select("page_id", "extension", F.coalesce("source_type", F.lit("")).alias("source_type"), F.coalesce("message", F.lit("")).alias("message")), "SELECT page_id, e AS extension, CASE e WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' ELSE '' END AS source_type, CASE WHEN e IN ('.pdf', '.docx', '.md', '.txt') THEN '' ELSE 'unsupported file type: ' || e END AS message FROM (SELECT page_id, lower(regexp_extract(url, '(\\.[^./]+)$', 1)) AS e FROM pages)"),
     "read_typed_json": (_json_items, "SELECT p_partkey // 8 AS doc_id, CASE p_partkey % 2 WHEN 0 THEN 'modules' ELSE 'tables' END AS slot, p_partkey AS item_no, p_name AS name FROM part"),
     "manifest_join": (_manifest, "SELECT 'docs/' || d.doc_id || '.md' AS doc_path, 'gt/' || d.doc_id || '.json' AS gt_path, CASE WHEN toxic = 1 THEN 'failed' ELSE 'ok' END AS status FROM documents d JOIN labels l ON d.doc_id = l.doc_id"),
-    "write_catalog": (_saved, "SELECT CASE source WHEN 'src0' THEN 'srs' WHEN 'src1' THEN 'api' ELSE 'unknown' END AS doc_type, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1"),
+    "write_catalog": (_saved, "SELECT CASE source " + _CASES + " ELSE 'unknown' END AS doc_type, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1"),
     "write_eval_report": (_report, "SELECT 'slot' AS section, CASE p_partkey % 2 WHEN 0 THEN 'modules' ELSE 'tables' END AS key, count(*) AS count FROM part GROUP BY ALL UNION ALL SELECT 'document', (p_partkey // 8)::VARCHAR, count(*) FROM part GROUP BY ALL"),
     "stream_ingest": (_streamed, f"SELECT doc_id, count(*) AS elements, sum(length(line))::BIGINT AS chars FROM ({_KEPT_LINES}) GROUP BY doc_id"),
     "stream_status": (_status_stream, "SELECT doc_id, arg_max(status, ts) AS status, max(ts) AS ts, arg_max(status, ts) IN ('pending', 'uploaded', 'parsing', 'extracting') AS active FROM (SELECT user_id AS doc_id, CASE event_type WHEN 'signup' THEN 'uploaded' ELSE event_type END AS status, ts FROM events) GROUP BY doc_id"),

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import blocks, chunks, metadata, structure
-from .sources.tables import MARKDOWN_BLOCKS_SQL, markdown_orders
+from .operators import blocks, chunks, metadata, schemas, structure
+from .sources.tables import MARKDOWN_BLOCKS_SQL, markdown_orders, table
 
 _B = f"({MARKDOWN_BLOCKS_SQL})"
 _TYPES = "CASE type WHEN 'title' THEN 'heading' WHEN 'section_break' THEN 'separator' WHEN 'code' THEN 'code' WHEN 'table' THEN 'table' ELSE 'paragraph' END"
@@ -77,4 +77,5 @@ REGISTRY = {
     "drop_ignored_sections": (lambda s, d: _grouped(s, d).select("doc_id", "ord", "element_id", "group_no"), f"SELECT doc_id, ord, element_id, group_no FROM ({_GROUPED})"),
     "grouped_units": (lambda s, d: _grouped_units(s, d).where("opens").select("doc_id", "unit_no", "group_no", "section", "unit_size"), f"SELECT doc_id, unit_no::BIGINT AS unit_no, group_no, path AS section, unit_size::BIGINT AS unit_size FROM (SELECT doc_id, group_no, path, min(ord) AS o, sum(length('[ELEMENT: ' || element_id || ']' || chr(10) || text)) AS unit_size, row_number() OVER (PARTITION BY doc_id ORDER BY min(ord)) AS unit_no FROM ({_GROUPED}) GROUP BY doc_id, group_no, path)"),
     "grouped_chunks": (lambda s, d: chunks.chunk_numbers(_grouped_units(s, d), SMALL).select("doc_id", "ord", "group_no", "chunk_no"), _GROUPED_CHUNKS_SQL),
+    "normalize_categories": (lambda s, d: table(s, d, "orders").select("o_orderkey", schemas.category(F.when(F.col("o_orderstatus") == "F", "　性能 ").when(F.col("o_orderstatus") == "O", " Security").when(F.col("o_custkey") % 2 == 0, "new")).alias("category")), "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'performance' WHEN 'O' THEN 'security' ELSE 'other' END AS category FROM orders"),
 }
