@@ -110,8 +110,12 @@ def _searched(key, held: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
     for word, n, rest, budget in zip(visits["visitor"].tolist(), visits["times"].tolist(), visits["path"].tolist(), visits["left"].tolist()):
         found = []
         _leaves(trie, rest, 0, budget, found)
+        half = len(word) // 2
+        head, tail = word[:half], word[len(word) - half :]  # an edit leaves one of them
         for leaf, left in found:
             for other, m in leaf:
+                if not (other.startswith(head) or other.endswith(tail)):
+                    continue
                 # Of two words with equal counts the smaller finds the other, unless one is shorter: that one does.
                 if (left < 2 or len(other) > len(word) or word < other) and one_edit(word, other):
                     out.append((word, n, other, m))
