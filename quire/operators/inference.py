@@ -48,9 +48,15 @@ def merge_document_fields(candidates: DataFrame, text: str, item: str) -> DataFr
 
 
 def first_evidence(bound: DataFrame) -> DataFrame:
-    """The first support of each document: one with text before one without, then by object and element."""
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("text_span") != "", F.lit(False)).desc(), "object_id", "element_id")
-    return bound.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    """The support of each document that a viewer shows first: one with text, else one with page (not 0) and box, else any.
+
+    Of equals that of the first object, then of the first element. A document's supports meet by an aggregate, so many of
+    them are no load for one task.
+    """
+    text = F.coalesce(stripped(F.col("text_span")) != "", F.lit(False))
+    place = F.coalesce((F.col("page") != 0) & F.col("bbox").isNotNull(), F.lit(False)) if {"page", "bbox"} <= set(bound.columns) else F.lit(False)
+    rank = F.struct(F.when(text, 0).when(place, 1).otherwise(2).alias("kind"), "object_id", "element_id", *(c for c in bound.columns if c not in ("doc_id", "object_id", "element_id")))
+    return bound.groupBy("doc_id").agg(F.min(rank).alias("x")).select("doc_id", *(F.col(f"x.{c}") for c in bound.columns if c != "doc_id"))
 
 
 def patch_objects(objects: DataFrame, patches: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from . import merging
+from . import layout, merging
 from .blocks import stripped
 
 # Id prefixes by slot; other slots take their first four letters.
 PREFIXES = {"functional_requirements": "FREQ", "non_functional_requirements": "NFR", "business_flows": "BFL", "apis": "APIS", "modules": "MOD", "core_flows": "CFL", "design_decisions": "DEC", "test_cases": "TC", "tables": "TBL"}
 
+# Slots whose objects are calls, and the field that labels an object's type, by slot.
+CALLED = ("apis", "interfaces", "endpoints")
+TYPE_LABELS = {"functional_requirements": "priority", "non_functional_requirements": "category", "apis": "method", "test_cases": "priority"}
+
 
 def object_identity(candidates: DataFrame) -> DataFrame:
     """Adds object_key to doc_id, slot, seq and either item or the fields of the records (see merging.identity)."""
@@ -46,11 +52,24 @@ def object_evidence(keyed: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def bind_evidence(named: DataFrame, elements: DataFrame) -> DataFrame:
-    """doc_id, object_id, element_id, text_span (single blanks, cut to 500) of the ids that exist in the document."""
+    """doc_id, object_id, element_id, text_span (single blanks, cut to 500; NULL for none) and, where the elements have them, page and bbox.
+
+    One row for each id that an object names and that exists in its document, with what the element says and where it is.
+    Element ids are unique in their document.
+    """
     plain = stripped(F.regexp_replace("text", r"(?U)\s+", " "))
-    span = F.when(F.length(plain) > 500, F.concat(F.rtrim(F.substring(plain, 1, 500)), F.lit("..."))).otherwise(plain)
-    spans = elements.select("doc_id", "element_id", span.alias("text_span"))
-    return named.withColumnRenamed("evidence_id", "element_id").join(spans, ["doc_id", "element_id"]).select("doc_id", "object_id", "element_id", "text_span")
+    span = F.nullif(shortened(plain, 500), F.lit(""))
+    place = [c for c in ("page", "bbox") if c in elements.columns]
+    spans = elements.select("doc_id", "element_id", span.alias("text_span"), *(layout.valid_box(F.col(c)).alias(c) if c == "bbox" else F.col(c) for c in place))
+    ids = named.select("doc_id", "object_id", F.col("evidence_id").alias("element_id")).distinct()
+    return ids.join(spans, ["doc_id", "element_id"]).select("doc_id", "object_id", "element_id", "text_span", *place)
+
+
+def valid_evidence(objects: DataFrame, bound: DataFrame) -> DataFrame:
+    """The objects with evidence_element_ids: the ordered ids of what supports them, those that exist only."""
+    found = bound.groupBy("doc_id", "object_id").agg(F.array_sort(F.collect_set("element_id")).alias("evidence_element_ids"))
+    rows = objects.drop("evidence_element_ids").join(found, ["doc_id", "object_id"], "left")
+    return rows.withColumn("evidence_element_ids", F.coalesce("evidence_element_ids", F.array().cast("array<string>")))
 
 
 def dangling_evidence(named: DataFrame, elements: DataFrame) -> DataFrame:
@@ -82,14 +101,14 @@ def union_lists(rows: DataFrame, column: str) -> DataFrame:
     return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value).alias(column))
 
 
-def extraction_meta(coverage: DataFrame, chunks: DataFrame, elements: DataFrame) -> DataFrame:
-    """doc_id, confidence (the coverage), chunk, failed-chunk, element and section counts.
+def extraction_meta(coverage: DataFrame, chunks: DataFrame, elements: DataFrame, model: str = "") -> DataFrame:
+    """doc_id, llm_model, confidence (the coverage), chunk, failed-chunk, element and section counts.
 
-    chunks has doc_id and failed, elements doc_id and section.
+    chunks has doc_id and failed, elements doc_id and section. Documents without elements have no row.
     """
     c = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.count_if("failed").alias("failed_chunks"))
     e = elements.groupBy("doc_id").agg(F.count("*").alias("element_count"), F.count_distinct("section").alias("section_count"))
-    out = e.join(c, "doc_id", "left").join(coverage.select("doc_id", F.col("coverage").alias("confidence")), "doc_id", "left")
+    out = e.join(c, "doc_id", "left").join(coverage.select("doc_id", F.col("coverage").alias("confidence")), "doc_id", "left").withColumn("llm_model", F.lit(model))
     return out.na.fill(0, ["chunk_count", "failed_chunks"]).na.fill(0.0, ["confidence"])
 
 
@@ -97,11 +116,31 @@ def shortened(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("..."))).otherwise(text)
 
 
+def _shown(objects: DataFrame) -> tuple[Column, Column]:
+    """The title and the type label of an object, by the fields that the objects or their item have."""
+    inside = objects.schema["item"].dataType.names if "item" in objects.columns else []
+
+    def said(field: str) -> Column:
+        value = F.col("item")[field] if field in inside else F.col(field) if field in objects.columns else F.lit(None)
+        return F.nullif(stripped(value.cast("string")), F.lit(""))
+
+    call = F.nullif(F.concat_ws(" ", F.coalesce(said("method"), said("http_method")), F.coalesce(said("endpoint"), said("path"))), F.lit(""))
+    title = F.coalesce(said("name"), F.when(F.col("slot").isin(*CALLED), call), F.when(F.col("slot") == "auth", said("auth_type")), said("title"), *(shortened(said(f), 48) for f in ("description", "summary", "content")), F.col("object_id"))
+    label = reduce(lambda found, pair: F.when(F.col("slot") == pair[0], said(pair[1])).otherwise(found), TYPE_LABELS.items(), F.lit(None).cast("string"))
+    return title, label
+
+
 def item_view(objects: DataFrame, bound: DataFrame) -> DataFrame:
-    """doc_id, object_id, slot, title (name, else the description cut to 48, else the id), evidence (ordered ids)."""
-    found = bound.groupBy("doc_id", "object_id").agg(F.array_sort(F.collect_set("element_id")).alias("evidence"))
-    title = F.coalesce(F.nullif("name", F.lit("")), shortened(F.nullif(F.col("description"), F.lit("")), 48), "object_id")
-    return objects.join(found, ["doc_id", "object_id"], "left").select("doc_id", "object_id", "slot", title.alias("title"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+    """doc_id, object_id, slot, title, type_label, evidence: a row of a list of objects.
+
+    The title is the name, else method and path of a call, the kind of an auth, a title, or what else an object says, cut to
+    48; else its id. evidence has a record (element_id and, where known, text_span, page, bbox) for each support, by element.
+    """
+    title, label = _shown(objects)
+    record = F.struct("element_id", *(c for c in ("text_span", "page", "bbox") if c in bound.columns))
+    found = bound.groupBy("doc_id", "object_id").agg(F.array_sort(F.collect_set(record)).alias("evidence"))
+    none = F.array().cast(found.schema["evidence"].dataType)
+    return objects.join(found, ["doc_id", "object_id"], "left").select("doc_id", "object_id", "slot", title.alias("title"), label.alias("type_label"), F.coalesce("evidence", none).alias("evidence"))
 
 
 def _grams(text: str, size: int, window: int, first: bool) -> np.ndarray:

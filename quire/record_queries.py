@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .operators import chunks, objects, responses, schemas, structure
+from .operators import chunks, inference, objects, responses, schemas, structure
 from .session import scratch
 from .sources import files
 from .sources.tables import ORDER_ELEMENTS_SQL, TURNS_SQL, labelled_items, order_elements, table, turns
@@ -108,7 +109,7 @@ def _united(spark, sf):
 def _meta(spark, sf):
     t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_discount", (F.col("l_returnflag") == "R").alias("failed"))
     coverage = t.groupBy("doc_id").agg(F.round(F.avg((F.col("l_discount") > 0.05).cast("int")), 4).alias("coverage"))
-    return objects.extraction_meta(coverage, t, order_elements(spark, sf).withColumn("section", F.substring("text", 1, 6)))
+    return objects.extraction_meta(coverage, t, order_elements(spark, sf).withColumn("section", F.substring("text", 1, 6)), "rules")
 
 
 def _simple(spark, sf):
@@ -131,6 +132,37 @@ def _targets(spark, sf):
     return objects.resolve_targets(evidence, order_elements(spark, sf).withColumn("ord", F.substring("element_id", 4, 4).cast("int"))).select("doc_id", "object_id", F.coalesce("target", F.lit("")).alias("target"))
 
 
+def _placed(spark, sf):
+    """Calls, requirements and auths of an order's lines with the elements that they name, some without text, page or box."""
+    t = table(spark, sf, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    q, n = F.col("l_quantity").cast("long"), F.col("n")
+    slot = F.get(F.array(*map(F.lit, ("apis", "auth", "test_cases", "tables"))), (q % 4).cast("int"))
+    t = t.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("O-"), n.cast("string")).alias("object_id"), slot.alias("slot"), "n", q.alias("q"), "l_suppkey", "l_returnflag", "l_linestatus")
+    q = F.col("q")
+    item = F.struct(F.when(q % 5 == 0, F.concat(F.lit(" n"), q.cast("string"))).otherwise("　").alias("name"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("method"), F.when(q % 3 == 0, F.concat(F.lit("/s/"), F.col("l_suppkey").cast("string"))).alias("path"), F.col("l_linestatus").alias("auth_type"), F.when(q % 2 == 0, "high").alias("priority"), F.when(q > 25, F.concat(F.repeat(F.lit("long "), 12), q.cast("string"))).alias("description"))
+    objects_ = t.select("doc_id", "object_id", "slot", item.alias("item"))
+    named = t.select("doc_id", "object_id", F.explode(F.array(F.col("n"), F.col("n") + 1, F.lit(1), F.lit(99))).alias("e")).select("doc_id", "object_id", F.format_string("el-%d", "e").alias("evidence_id"))
+    box = F.when(q % 3 != 0, F.array(F.lit(1.0), F.lit(2.0), q.cast("double"), F.when(q % 7 != 0, F.lit(9.0)).otherwise(float("nan"))))
+    elements = t.select("doc_id", F.format_string("el-%d", "n").alias("element_id"), F.when(q % 2 == 0, F.concat(F.lit(" at　 "), q.cast("string"))).otherwise(" ").alias("text"), (q % 4).alias("page"), box.alias("bbox"))
+    return objects_, objects.bind_evidence(named, elements)
+
+
+def _viewed(spark, sf):
+    found = objects.item_view(*_placed(spark, sf))
+    record = lambda x: F.concat_ws(":", x["element_id"], x["text_span"], x["page"].cast("string"), F.when(x["bbox"].isNotNull(), "box"))
+    return found.select("doc_id", "object_id", "slot", "title", F.coalesce("type_label", F.lit("")).alias("type_label"), F.array_join(F.transform("evidence", record), ",").alias("evidence"))
+
+
+def _first_placed(spark, sf):
+    return inference.first_evidence(_placed(spark, sf)[1]).select("doc_id", "object_id", "element_id", F.coalesce("text_span", F.lit("")).alias("text_span"), "page", F.col("bbox").isNotNull().alias("boxed"))
+
+
+_PLACED = """SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_quantity::BIGINT AS q, l_suppkey, l_returnflag AS rf, l_linestatus AS ls FROM lineitem"""
+_PLACED_BOUND = f"SELECT o.doc_id, 'O-' || o.n AS object_id, 'el-' || e.n AS element_id, CASE WHEN e.q % 2 = 0 THEN 'at ' || e.q END AS text_span, e.q % 4 AS page, e.q % 3 <> 0 AND e.q % 7 <> 0 AS boxed FROM ({_PLACED}) o JOIN ({_PLACED}) e ON o.doc_id = e.doc_id AND (e.n = o.n OR e.n = o.n + 1 OR e.n = 1)"
+_VIEWED_SQL = f"""SELECT o.doc_id, 'O-' || n AS object_id, ['apis', 'auth', 'test_cases', 'tables'][q % 4 + 1] AS slot, CASE WHEN q % 5 = 0 THEN 'n' || q WHEN q % 4 = 0 AND (rf <> 'R' OR q % 3 = 0) THEN concat_ws(' ', CASE WHEN rf <> 'R' THEN rf END, CASE WHEN q % 3 = 0 THEN '/s/' || l_suppkey END) WHEN q % 4 = 1 THEN ls WHEN q > 25 THEN rtrim(substring(repeat('long ', 12), 1, 48)) || '...' ELSE 'O-' || n END AS title,
+ CASE WHEN q % 4 = 0 AND rf <> 'R' THEN rf WHEN q % 4 = 2 THEN 'high' ELSE '' END AS type_label, evidence FROM ({_PLACED}) o JOIN (SELECT doc_id, object_id, string_agg(concat_ws(':', element_id, text_span, page::VARCHAR, CASE WHEN boxed THEN 'box' END), ',' ORDER BY element_id) AS evidence FROM ({_PLACED_BOUND}) GROUP BY ALL) b ON b.doc_id = o.doc_id AND b.object_id = 'O-' || o.n"""
+_FIRST_SQL = f"SELECT doc_id, object_id, element_id, coalesce(text_span, '') AS text_span, page, boxed FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN text_span IS NOT NULL THEN 0 WHEN page <> 0 AND boxed THEN 1 ELSE 2 END, object_id, element_id) AS r FROM ({_PLACED_BOUND})) WHERE r = 1"
+
 _SIMPLE = "SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_partkey) AS p, max(l_returnflag) AS rf, max(l_quantity)::BIGINT AS q, 'O-' || l_linenumber AS object_id FROM lineitem GROUP BY ALL"
 _SIMPLE_BOUND = f"SELECT DISTINCT doc_id, object_id, printf('el-%04d', unnest([n, q % 3 + 1])) AS element_id FROM ({_SIMPLE})"
 
@@ -212,6 +244,8 @@ _STREAM_ENDS = rf"""WITH RECURSIVE e AS (SELECT doc_id, i, '[ELEMENT: ' || print
  SELECT o.doc_id, CASE WHEN d.doc_id IS NULL THEN 'uploaded,parsing,failed' WHEN good THEN 'uploaded,parsing,extracting,completed' ELSE 'uploaded,parsing,extracting,failed' END AS way, CASE WHEN d.doc_id IS NULL THEN 'parsing' WHEN good THEN '' ELSE 'extracting' END AS stopped, CASE WHEN good THEN answered ELSE 0 END AS answered FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id"""
 
 REGISTRY = {
+    "object_view": (_viewed, _VIEWED_SQL),
+    "first_positioned_evidence": (_first_placed, _FIRST_SQL),
     "stream_ends": (_stream_ends, _STREAM_ENDS),
     "extraction_contracts": (_contracts, "SELECT doc_id, doc_type, slots, CASE doc_type WHEN 'srs' THEN 'system_name,target_users' WHEN 'hld' THEN 'architecture_style,technology_stack' WHEN 'api' THEN 'base_url' WHEN 'tc' THEN 'test_scope' WHEN 'dbdd' THEN 'db_name,db_type' ELSE '' END AS fields, CASE WHEN doc_type = '' THEN 0 ELSE 5 END AS rules, CASE WHEN doc_type = '' THEN '' ELSE '术语表,术语定义,参考资料,参考文献,附录,references,glossary' END AS ignored FROM (SELECT doc_id, doc_type, CASE doc_type WHEN 'srs' THEN 'functional_requirements,non_functional_requirements,business_flows' WHEN 'hld' THEN 'modules,core_flows,design_decisions' WHEN 'api' THEN 'apis' WHEN 'tc' THEN 'test_cases' WHEN 'dbdd' THEN 'tables' ELSE '' END AS slots FROM (SELECT doc_id, CASE source " + _CASES + " ELSE '' END AS doc_type FROM documents))"),
     "chunk_prompts": (_prompts, f"SELECT doc_id, chunk_id, chunk_id || ' [' || section || '] pages ' || page_start || CASE WHEN page_end <> page_start THEN '-' || page_end ELSE '' END || ' ' || n || ' elements ' || length(text) || ' characters' AS summary, sections, about, doc_type, slots, section, page_start, page_end, allowed, text FROM ({_CHUNKS}) JOIN ({_ASKED}) USING (doc_id)"),
@@ -222,8 +256,8 @@ REGISTRY = {
     "validate_chunk_results": (_validated, f"SELECT *, bool_and(reason <> '') OVER (PARTITION BY doc_id) AS doc_failed FROM (SELECT doc_id, chunk_no::BIGINT AS chunk_no, CASE WHEN max(l_tax) > 0.065 THEN 'call failed' WHEN bool_or(name = '') THEN 'item without a name' WHEN bool_or(l_returnflag = 'R') THEN 'unknown method' ELSE '' END AS reason FROM ({_LINE_SAID}) GROUP BY ALL)"),
     "collect_candidates": (_candidates, f"SELECT doc_id, 'apis' AS slot, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no, l_partkey, l_suppkey) AS seq, name, description FROM ({_LINE_SAID})"),
     "union_lists": (_united, "SELECT doc_id, string_agg(value, ',' ORDER BY place, value) AS marks FROM (SELECT doc_id, value, min(place) AS place FROM (SELECT l_orderkey AS doc_id, l_returnflag AS value, 2 * l_linenumber AS place FROM lineitem UNION ALL SELECT l_orderkey, l_linestatus, 2 * l_linenumber + 1 FROM lineitem) GROUP BY ALL) GROUP BY doc_id"),
-    "extraction_meta": (_meta, f"SELECT e.doc_id, element_count, section_count, chunk_count, failed_chunks, confidence FROM (SELECT doc_id, count(*) AS element_count, count(DISTINCT substring(text, 1, 6)) AS section_count FROM ({ORDER_ELEMENTS_SQL}) GROUP BY doc_id) e JOIN (SELECT l_orderkey AS doc_id, count(*) AS chunk_count, count(*) FILTER (l_returnflag = 'R') AS failed_chunks, round(avg((l_discount > 0.05)::INT), 4) AS confidence FROM lineitem GROUP BY ALL) c ON e.doc_id = c.doc_id"),
-    "item_view": (lambda s, d: objects.item_view(_simple_objects(s, d), _simple_bound(s, d)).withColumn("evidence", F.array_join("evidence", ",")), f"SELECT doc_id, object_id, 'tables' AS slot, CASE WHEN rf <> 'R' THEN 'part ' || p WHEN q > 25 THEN rtrim(substring(repeat('long ', 12), 1, 48)) || '...' ELSE object_id END AS title, evidence FROM ({_SIMPLE}) JOIN (SELECT doc_id, object_id, string_agg(element_id, ',' ORDER BY element_id) AS evidence FROM ({_SIMPLE_BOUND}) GROUP BY ALL) USING (doc_id, object_id)"),
+    "extraction_meta": (_meta, f"SELECT e.doc_id, 'rules' AS llm_model, element_count, section_count, chunk_count, failed_chunks, confidence FROM (SELECT doc_id, count(*) AS element_count, count(DISTINCT substring(text, 1, 6)) AS section_count FROM ({ORDER_ELEMENTS_SQL}) GROUP BY doc_id) e JOIN (SELECT l_orderkey AS doc_id, count(*) AS chunk_count, count(*) FILTER (l_returnflag = 'R') AS failed_chunks, round(avg((l_discount > 0.05)::INT), 4) AS confidence FROM lineitem GROUP BY ALL) c ON e.doc_id = c.doc_id"),
+    "item_view": (lambda s, d: objects.item_view(_simple_objects(s, d), _simple_bound(s, d)).withColumn("evidence", F.array_join("evidence.element_id", ",")).drop("type_label"), f"SELECT doc_id, object_id, 'tables' AS slot, CASE WHEN rf <> 'R' THEN 'part ' || p WHEN q > 25 THEN rtrim(substring(repeat('long ', 12), 1, 48)) || '...' ELSE object_id END AS title, evidence FROM ({_SIMPLE}) JOIN (SELECT doc_id, object_id, string_agg(element_id, ',' ORDER BY element_id) AS evidence FROM ({_SIMPLE_BOUND}) GROUP BY ALL) USING (doc_id, object_id)"),
     "resolve_evidence_target": (_targets, f"SELECT s.doc_id, s.object_id, coalesce(max(e.element_id) FILTER (rf <> 'N' AND e.element_id = printf('el-%04d', n)), min(e.element_id) FILTER (contains(e.text, 'part ' || p)), '') AS target FROM ({_SIMPLE}) s LEFT JOIN ({ORDER_ELEMENTS_SQL}) e ON s.doc_id = e.doc_id GROUP BY ALL"),
     "targets_by_element": (lambda s, d: objects.targets_by_element(_simple_bound(s, d)).withColumn("objects", F.array_join("objects", ",")), f"SELECT doc_id, element_id, string_agg(object_id, ',' ORDER BY object_id) AS objects FROM ({_SIMPLE_BOUND}) GROUP BY ALL"),
     "route_by_extension": (lambda s, d: files.route_by_extension(table(s, d, "pages").select("page_id", "url"), "url").select("page_id", "extension", F.coalesce("source_type", F.lit("")).alias("source_type"), F.coalesce("message", F.lit("")).alias("message")), "SELECT page_id, e AS extension, CASE e WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' ELSE '' END AS source_type, CASE WHEN e IN ('.pdf', '.docx', '.md', '.txt') THEN '' ELSE 'unsupported file type: ' || e END AS message FROM (SELECT page_id, lower(regexp_extract(url, '(\\.[^./]+)$', 1)) AS e FROM pages)"),
