@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from .operators import merging, objects
 from .sources.tables import table
 
-_PAD = F.lit("　          ")
+_PAD = "　          "
 
 
 def _candidates(spark, sf):
@@ -16,8 +16,8 @@ def _candidates(spark, sf):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     t = table(spark, sf, "lineitem").withColumn("seq", n.cast("long")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     q, brand = F.col("l_quantity").cast("long"), F.col("p_brand")
-    name = F.when(q % 5 == 0, F.lit(None)).when(q % 5 == 1, "\t　").when(q % 5 == 2, F.concat(_PAD, F.upper(brand), F.lit("　\n"))).when(q % 5 == 3, F.concat(F.lit("x　\n y "), brand)).otherwise(F.concat(F.lit("X Y "), brand))
-    text = F.when(q % 4 == 0, "").when(q % 4 == 1, F.concat(F.substring("p_name", 1, 5), _PAD)).otherwise(F.col("p_name"))
+    name = F.when(q % 5 == 0, F.lit(None)).when(q % 5 == 1, "\t　").when(q % 5 == 2, F.concat(F.lit(_PAD), F.upper(brand), F.lit("　\n"))).when(q % 5 == 3, F.concat(F.lit("x　\n y "), brand)).otherwise(F.concat(F.lit("X Y "), brand))
+    text = F.when(q % 4 == 0, "").when(q % 4 == 1, F.concat(F.substring("p_name", 1, 5), F.lit(_PAD))).otherwise(F.col("p_name"))
     notes = F.array(F.struct(F.lit("flag").alias("key"), F.col("l_returnflag").alias("value")), F.struct(F.lit(" ").alias("key"), F.lit("").alias("value")), F.struct(F.lit("size").alias("key"), F.when(q % 3 == 0, F.col("p_size").cast("string")).alias("value")))
     detail = F.struct(F.when(q % 2 == 0, F.col("p_type")).alias("unit"), notes.alias("notes"))
     item = F.struct(

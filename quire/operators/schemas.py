@@ -47,6 +47,11 @@ def schema_of(doc_type: str) -> T.StructType:
     return T.StructType.fromDDL(", ".join([_DOCUMENT, fields, *(f"{s} {SLOTS[s]}" for s in slots)]))
 
 
+def all_schemas() -> dict[str, T.StructType]:
+    """The schema of each document type; needs a session, as Spark reads the types."""
+    return {t: schema_of(t) for t in TYPES}
+
+
 def document_type(value: Column) -> Column:
     """The document type of a text in any case and with blanks around it; NULL for others."""
     plain = F.lower(stripped(value))

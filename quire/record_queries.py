@@ -13,7 +13,6 @@ from .sources.tables import ORDER_ELEMENTS_SQL, TURNS_SQL, labelled_items, order
 from .streaming import ingest
 
 
-SCHEMAS = {t: schemas.schema_of(t) for t in schemas.TYPES}
 _TYPE_OF = {"src0": " SRS", "src1": "api", "src2": "Hld　", "src3": "tc", "src4": "dbdd", "src5": "unknown"}
 
 
@@ -23,7 +22,7 @@ def _typed(spark, sf):
 
 
 def _contracts(spark, sf):
-    found = responses.with_contracts(_typed(spark, sf), SCHEMAS)
+    found = responses.with_contracts(_typed(spark, sf), schemas.all_schemas())
     joined = lambda c: F.coalesce(F.array_join(f"contract.{c}", ","), F.lit(""))
     return found.select("doc_id", F.coalesce("contract.doc_type", F.lit("")).alias("doc_type"), joined("target_slots").alias("slots"), joined("document_fields").alias("fields"), F.coalesce(F.size("contract.rules"), F.lit(0)).alias("rules"), joined("ignore_sections").alias("ignored"))
 
@@ -39,7 +38,7 @@ def _asked(spark, sf):
     outline = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_set("role")).alias("sections"))).alias("outline"))
     kind = F.when(F.col("doc_id") % 3 == 0, "srs").when(F.col("doc_id") % 3 == 1, "api").otherwise("unknown")
     summary = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("　about "), F.col("doc_id").cast("string"))).otherwise(" ")
-    return responses.with_contracts(outline.select("doc_id", "outline", summary.alias("document_summary"), kind.alias("doc_type")), SCHEMAS)
+    return responses.with_contracts(outline.select("doc_id", "outline", summary.alias("document_summary"), kind.alias("doc_type")), schemas.all_schemas())
 
 
 _REQUEST = "outline struct<sections array<string>>, summary string, contract struct<doc_type string, target_slots array<string>, rules array<string>>, chunk struct<chunk_id string, section_path string, page_start long, page_end long, allowed_evidence_element_ids array<string>>, text string, candidates array<struct<r long>>"
