@@ -33,7 +33,7 @@ def _objects(spark, sf):
 
 
 def _named(spark, sf):
-    return objects.object_evidence(_keyed(spark, sf), _objects(spark, sf))
+    return objects.object_evidence(_objects(spark, sf))
 
 
 def _catalog(spark, sf):
@@ -145,11 +145,11 @@ _REGISTRY = {
     "pack_chunks": (lambda s, d: chunks.chunk_summary(_chunked(s, d)).withColumn("element_ids", F.array_join("element_ids", ",")), f"WITH RECURSIVE {_CHUNKED_SQL} SELECT doc_id, printf('chunk-%04d', chunk_no) AS chunk_id, arg_min(section, ord) AS section, count(*) AS elements, sum(size)::BIGINT AS chars, min(page) AS page_start, max(page) AS page_end, arg_min(element_id, ord) AS first_element, arg_max(element_id, ord) AS last_element, string_agg(element_id, ',' ORDER BY ord) AS element_ids, string_agg(marked, chr(10) || chr(10) ORDER BY ord) AS markdown FROM (SELECT c.*, t.page, t.marked FROM c JOIN (SELECT z.doc_id, z.ord, z.marked, y.page FROM ({_SIZED_SQL}) z JOIN ({TURNS_SQL}) y ON z.doc_id = y.doc_id AND z.ord = y.ord) t ON c.doc_id = t.doc_id AND c.ord = t.ord) GROUP BY doc_id, chunk_no"),
     "chunk_overlap": (lambda s, d: chunks.overlap(_chunked(s, d), OVERLAP), f"WITH RECURSIVE {_CHUNKED_SQL}, p AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY ord) - size AS before FROM c), s AS (SELECT doc_id, chunk_no, min(ord) AS start, min(before) AS before FROM p WHERE chunk_no > 1 GROUP BY doc_id, chunk_no) SELECT s.doc_id, s.chunk_no, p.ord FROM s JOIN p ON s.doc_id = p.doc_id AND p.ord < s.start AND s.before - p.before <= {OVERLAP}"),
     "object_identity": (lambda s, d: _keyed(s, d).select("doc_id", "seq", "object_key"), f"SELECT doc_id, seq, object_key FROM ({_KEYED_SQL})"),
-    "merge_objects": (lambda s, d: objects.merge_objects(_keyed(s, d)), _MERGED_SQL),
+    "merge_objects": (lambda s, d: objects.merge_objects(_keyed(s, d)).drop("evidence_ids"), _MERGED_SQL),
     "assign_global_ids": (lambda s, d: _objects(s, d).select("doc_id", "object_id", "name", "description"), f"SELECT doc_id, object_id, name, description FROM ({_OBJECTS_SQL})"),
     "bind_evidence": (_bound, _BOUND_SQL),
     "dangling_evidence": (lambda s, d: objects.dangling_evidence(_named(s, d), order_elements(s, d)), f"SELECT doc_id, object_id, evidence_id FROM ({_NAMED_SQL}) n WHERE NOT EXISTS (SELECT 1 FROM ({ORDER_ELEMENTS_SQL}) e WHERE e.doc_id = n.doc_id AND e.element_id = n.evidence_id)"),
-    "evidence_coverage": (lambda s, d: objects.evidence_coverage(_objects(s, d), _bound(s, d)), f"SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS evidence_count, count(*) AS objects_total, count(n) AS objects_with_evidence, round(count(n) / count(*), 4) AS coverage FROM ({_OBJECTS_SQL}) LEFT JOIN (SELECT doc_id, object_id, count(*) AS n FROM ({_BOUND_SQL}) GROUP BY ALL) USING (doc_id, object_id) GROUP BY doc_id"),
+    "evidence_coverage": (lambda s, d: objects.evidence_coverage(_objects(s, d), order_elements(s, d)), f"SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS evidence_count, count(*) AS objects_total, count(n) AS objects_with_evidence, round(count(n) / count(*), 4) AS coverage FROM ({_OBJECTS_SQL}) LEFT JOIN (SELECT doc_id, object_id, count(*) AS n FROM ({_BOUND_SQL}) GROUP BY ALL) USING (doc_id, object_id) GROUP BY doc_id"),
     "list_documents": (lambda s, d: catalog.list_documents(_catalog(s, d)).withColumn("chars", F.coalesce(F.try_variant_get("extraction_meta", "$.chars", "long"), F.lit(-1))).drop("extraction_meta"), f"SELECT doc_id, title, doc_type, status, raw_text IS NOT NULL AS has_raw_text, document_ir IS NOT NULL AS has_document_ir, extracted_data IS NOT NULL AS has_extracted_data, coalesce(chars, -1) AS chars FROM ({_CATALOG_SQL}) ORDER BY doc_id DESC"),
     "search_documents": (lambda s, d: catalog.search_documents(_catalog(s, d), "EN", ("completed", "uploaded"), ("srs", "api")).select("doc_id", "title", "doc_type", "status"), f"SELECT doc_id, title, doc_type, status FROM ({_CATALOG_SQL}) WHERE contains(lower(title), 'en') AND status IN ('completed', 'uploaded') AND doc_type IN ('srs', 'api')"),
     "catalog_facets": (lambda s, d: catalog.facets(_catalog(s, d)), f"SELECT 'status' AS facet, status AS value, count(*) AS n FROM ({_CATALOG_SQL}) GROUP BY status UNION ALL SELECT 'doc_type', doc_type, count(*) FROM ({_CATALOG_SQL}) GROUP BY doc_type"),

@@ -32,9 +32,13 @@ def object_identity(candidates: DataFrame) -> DataFrame:
 
 
 def merge_objects(keyed: DataFrame) -> DataFrame:
-    """doc_id, slot, object_key, first_seq, name, description (each the longest, the earlier of equals), candidates."""
+    """doc_id, slot, object_key, first_seq, name, description (each the longest, the earlier of equals), candidates and evidence_ids.
+
+    evidence_ids are the distinct ids that the candidates name, in order, where the candidates have an evidence_id.
+    """
     seq = F.col("seq")
-    return keyed.groupBy("doc_id", "slot", "object_key").agg(F.min("seq").alias("first_seq"), merging.longest(F.col("name"), seq).alias("name"), merging.longest(F.col("description"), seq).alias("description"), F.count("*").alias("candidates"))
+    named = [F.array_sort(F.collect_set(F.nullif(stripped(F.col("evidence_id")), F.lit("")))).alias("evidence_ids")] if "evidence_id" in keyed.columns else []
+    return keyed.groupBy("doc_id", "slot", "object_key").agg(F.min("seq").alias("first_seq"), merging.longest(F.col("name"), seq).alias("name"), merging.longest(F.col("description"), seq).alias("description"), F.count("*").alias("candidates"), *named)
 
 
 def assign_ids(objects: DataFrame) -> DataFrame:
@@ -46,9 +50,9 @@ def assign_ids(objects: DataFrame) -> DataFrame:
     return objects.withColumn("object_id", F.concat(prefix, F.lit("-"), F.format_string("%03d", n)))
 
 
-def object_evidence(keyed: DataFrame, objects: DataFrame) -> DataFrame:
-    """doc_id, object_id, evidence_id: the distinct ids that an object's candidates name."""
-    return keyed.select("doc_id", "object_key", stripped(F.col("evidence_id")).alias("evidence_id")).distinct().join(objects.select("doc_id", "object_key", "object_id"), ["doc_id", "object_key"]).select("doc_id", "object_id", "evidence_id")
+def object_evidence(objects: DataFrame) -> DataFrame:
+    """doc_id, object_id, evidence_id: a row for each id that an object names."""
+    return objects.select("doc_id", "object_id", F.explode("evidence_ids").alias("evidence_id"))
 
 
 def bind_evidence(named: DataFrame, elements: DataFrame) -> DataFrame:
@@ -76,11 +80,15 @@ def dangling_evidence(named: DataFrame, elements: DataFrame) -> DataFrame:
     return named.join(elements.select("doc_id", F.col("element_id").alias("evidence_id")), ["doc_id", "evidence_id"], "left_anti").select("doc_id", "object_id", "evidence_id")
 
 
-def evidence_coverage(objects: DataFrame, bound: DataFrame) -> DataFrame:
-    """doc_id, evidence_count, objects_total, objects_with_evidence, coverage (four decimals)."""
-    per_object = bound.groupBy("doc_id", "object_id").agg(F.count("*").alias("n"))
-    joined = objects.select("doc_id", "object_id").join(per_object, ["doc_id", "object_id"], "left")
-    sums = joined.groupBy("doc_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_count"), F.count("*").alias("objects_total"), F.count("n").alias("objects_with_evidence"))
+def evidence_coverage(objects: DataFrame, elements: DataFrame) -> DataFrame:
+    """doc_id, evidence_count, objects_total, objects_with_evidence, coverage (four decimals): how many of the named ids exist.
+
+    The objects have evidence_ids and are read once; element ids are unique in their document.
+    """
+    known = elements.select("doc_id", F.col("element_id").alias("evidence_id"), F.lit(1).alias("known"))
+    named = objects.select("doc_id", "object_id", F.explode_outer("evidence_ids").alias("evidence_id")).join(known, ["doc_id", "evidence_id"], "left")
+    each = named.groupBy("doc_id", "object_id").agg(F.count("known").alias("n"))
+    sums = each.groupBy("doc_id").agg(F.sum("n").alias("evidence_count"), F.count("*").alias("objects_total"), F.count_if(F.col("n") > 0).alias("objects_with_evidence"))
     return sums.withColumn("coverage", F.round(F.col("objects_with_evidence") / F.col("objects_total"), 4))
 
 
