@@ -137,7 +137,7 @@ def _patched_objects(spark, sf):
 _REGISTRY = {
     "explode_lines": (lambda s, d: structure.explode_lines(table(s, d, "documents")), f"SELECT doc_id, i AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM ({_LINES_SQL}))"),
     "build_elements": (_elements, _ELEMENTS_SQL),
-    "front_matter": (lambda s, d: structure.front_matter(_elements(s, d)), f"SELECT doc_id, substring(string_agg(text, chr(10) ORDER BY ord), 1, 3000) AS text FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_ELEMENTS_SQL})) WHERE before < 3000 GROUP BY doc_id"),
+    "front_matter": (lambda s, d: structure.front_matter_of(table(s, d, "documents")), f"SELECT doc_id, substring(string_agg(text, chr(10) ORDER BY ord), 1, 3000) AS text FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_ELEMENTS_SQL})) WHERE before < 3000 GROUP BY doc_id"),
     "admission_filter": (lambda s, d: structure.admission(_elements(s, d), 10000), f"SELECT doc_id, sum(length(text))::BIGINT AS total, sum(length(text)) <= 10000 AS accepted FROM ({_ELEMENTS_SQL}) GROUP BY doc_id"),
     "scan_quality_gate": (lambda s, d: structure.scan_quality(_pages(s, d)), f"SELECT doc_id, count(*) AS pages, sum(chars)::BIGINT AS chars, sum(chars) < 120 OR sum(chars) < 40 * count(*) OR count(*) FILTER (chars = 0) * 10 >= 6 * count(*) AS needs_ocr FROM ({_PAGES_SQL}) WHERE n <= 6 OR page_no IN (0, n - 1, round_even((n - 1) / 5.0, 0), round_even(2 * (n - 1) / 5.0, 0), round_even(3 * (n - 1) / 5.0, 0), round_even(4 * (n - 1) / 5.0, 0)) GROUP BY doc_id"),
     "render_markers": (lambda s, d: chunks.render_markers(turns(s, d)).select("doc_id", "ord", "marked", "size"), f"SELECT doc_id, ord, marked, length(marked) AS size FROM ({_SIZED_SQL})"),

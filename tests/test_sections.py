@@ -50,3 +50,10 @@ def test_contracts_of_every_type(spark):
 @pytest.mark.parametrize("text,want", [("性能", "performance"), (" 可扩展性　", "scalability"), ("Security ", "security"), ("other", "other"), ("快", "other"), (None, "other")])
 def test_categories(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(schemas.category(F.col("t"))).first()[0] == want
+
+
+def test_front_matter_of_documents_is_that_of_their_elements(spark):
+    docs = spark.createDataFrame([(1, "ab\n\n　\ncd\r\nefgh\ni" * 3, "s"), (2, None, "s"), (3, " \n", "s"), (4, "x" * 30, None), (None, "none", "s")], "doc_id long, text string, source string")
+    for limit in (1, 2, 5, 11, 1000):
+        want = sorted(map(tuple, structure.front_matter(structure.build_elements(docs), limit).collect()), key=repr)
+        assert sorted(map(tuple, structure.front_matter_of(docs, limit).collect()), key=repr) == want
