@@ -132,7 +132,16 @@ _RENDERED_SQL = r"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_order
  '> by' || chr(10) || '> ' || p, '```sql' || chr(10) || 'SELECT ' || k || chr(10) || '```', '---', CASE WHEN c % 2 = 0 THEN '![](of/' || k || ')' ELSE 'shown' END) AS markdown FROM a"""
 
 
+_LABELS = (" Section_Header", "title", "text", "TABLE", "picture", "figure　", "code_block", "list_item", "formula", None, "")
+
+
+def _labelled(spark, sf):
+    label = F.get(F.array(*map(F.lit, _LABELS)), (F.col("l_partkey") % len(_LABELS)).cast("int"))
+    return _lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), "ord", layout.block_type(label).alias("block_type"), layout.element_type(label).alias("element_type"))
+
+
 REGISTRY = {
+    "map_layout_labels": (_labelled, f"SELECT l_orderkey AS doc_id, ord, ['title', 'title', 'paragraph', 'table', 'image', 'image', 'code', 'list', 'paragraph', 'paragraph', 'paragraph'][l_partkey % 11 + 1] AS block_type, ['heading', 'heading', 'paragraph', 'table', 'image', 'image', 'code', 'paragraph', 'paragraph', 'paragraph', 'paragraph'][l_partkey % 11 + 1] AS element_type FROM ({_LINES_SQL})"),
     "merge_adjacent_paragraphs": (lambda s, d: layout.merge_adjacent_paragraphs(_visual_lines(s, d)), _MERGED_SQL),
     "infer_heading_level": (_levels, _LEVELS_SQL),
     "normalize_bbox": (_normalized, _NORMALIZED_SQL),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .blocks import COLON, HEADING, NUMBERED, ROW, stripped
+from .blocks import COLON, ELEMENT_TYPES, HEADING, NUMBERED, ROW, stripped
 
 # Block type by the layout parser's label; others are paragraphs.
 BLOCK_TYPES = {"section_header": "title", "title": "title", "heading": "title", "paragraph": "paragraph", "text": "paragraph", "table": "table", "picture": "image", "image": "image", "figure": "image", "code": "code", "code_block": "code", "list": "list", "list_item": "list"}
@@ -28,6 +28,12 @@ def block_type(label: Column) -> Column:
     return F.coalesce(kinds[F.lower(stripped(label))], F.lit("paragraph"))
 
 
+def element_type(label: Column) -> Column:
+    """The element type of a layout label, through its block type."""
+    kinds = F.create_map(*(F.lit(x) for pair in ELEMENT_TYPES.items() for x in pair))
+    return F.coalesce(kinds[block_type(label)], F.lit("paragraph"))
+
+
 def traversal_levels(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, level of a tree (doc_id, node_id, parent_id): 1 for roots and for nodes whose parent is not there.
 
