@@ -26,8 +26,7 @@ def _candidates(spark, sf):
     )
     slot = F.when(F.col("l_returnflag") == "A", "entities").otherwise("modules")
     rows = t.select(F.col("l_orderkey").alias("doc_id"), slot.alias("slot"), "seq", item.alias("item"))
-    kind = rows.schema["item"].dataType
-    return objects.object_identity(rows.withColumn("item", merging.cleaned(F.col("item"), kind)).where(merging.says_something(F.col("item"), kind)))
+    return objects.object_identity(merging.cleaned_records(rows))
 
 
 def _merged(spark, sf):

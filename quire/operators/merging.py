@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import stripped
+from .blocks import stripped, visible_ends
 
 #: Fields that say nothing about an object.
 BESIDES = ("id", "evidence_element_ids")
@@ -25,19 +25,35 @@ def plain(text: Column) -> Column:
     return F.lower(stripped(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?U)\s+", " ")))
 
 
+def _if(value: Column, says) -> Column:
+    """The value where it passes, else NULL. It is made once; named twice in a condition, nested values would be made 2^depth times."""
+    return F.get(F.filter(F.array(value), says), F.lit(0))
+
+
 def cleaned(value: Column, kind: T.DataType) -> Column:
     """Strings without white space at their ends; strings, lists and records that say nothing are NULL, and gone from lists."""
     if isinstance(kind, T.StringType):
-        return F.nullif(stripped(value), F.lit(""))
+        return F.when(visible_ends(value), value).otherwise(F.nullif(stripped(value), F.lit("")))
     if isinstance(kind, T.ArrayType):
         kept = F.filter(F.transform(value, lambda x: cleaned(x, kind.elementType)), lambda x: x.isNotNull())
-        return F.when(F.size(kept) > 0, kept)
+        return _if(kept, lambda x: F.size(x) > 0)
     if isinstance(kind, T.StructType):
-        fields = [cleaned(value[f.name], f.dataType) for f in kind]
-        return F.when(_any(fields), F.struct(*(c.alias(f.name) for c, f in zip(fields, kind, strict=True))))
+        fields = F.struct(*(cleaned(value[f.name], f.dataType).alias(f.name) for f in kind))
+        return _if(fields, lambda x: _any([x[f.name] for f in kind]))
     return value
 
 
+def cleaned_records(rows: DataFrame, item: str = "item") -> DataFrame:
+    """The rows with their cleaned records, of which those stay that say something. Fields are columns until they are clean: Spark compiles these."""
+    kind = rows.schema[item].dataType
+    names = [f"_cleaned_{k}" for k in range(len(kind))]
+    fields = [cleaned(F.col(item)[f.name], f.dataType).alias(n) for f, n in zip(kind, names, strict=True)]
+    others = [c for c in rows.columns if c != item]
+    said = _any([F.col(n) for f, n in zip(kind, names, strict=True) if f.name not in BESIDES])
+    record = F.struct(*(F.col(n).alias(f.name) for f, n in zip(kind, names, strict=True)))
+    return rows.select(*others, *fields).where(said).select(*(record.alias(c) if c == item else c for c in rows.columns))
+
+
 def _any(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, (c.isNotNull() for c in columns), F.lit(False))
 
@@ -70,41 +86,61 @@ def identity(slot: Column, item: Column, kind: T.StructType) -> Column:
 
     typed = [F.nullif(said(f.name), F.lit("")) for f in kind if f.name.endswith("_type") and f.name != "doc_type"]
     name, own = said("name"), said("id")
-    named = F.concat_ws("::", slot, F.coalesce(*typed, F.lit("name")), name)
-    named = F.when(slot == "entities", F.concat_ws("::", F.lit("entity"), said("entity_type"), name)).otherwise(named)
-    return F.when(name != "", named).when(own != "", F.concat(F.lit("id::"), own)).otherwise(F.concat(F.lit("raw::"), canonical(item, kind)))
+    label = F.when(slot == "entities", F.concat_ws("::", F.lit("entity"), said("entity_type"))).otherwise(F.concat_ws("::", slot, F.coalesce(*typed, F.lit("name"))))
+    return F.when(name != "", F.concat_ws("::", label, name)).when(own != "", F.concat(F.lit("id::"), own)).otherwise(F.concat(F.lit("raw::"), canonical(item, kind)))
 
 
 def longest(value: Column, order: Column) -> Column:
     """Aggregate: the string that is longest without the white space at its ends, the earliest of equals; never an empty one."""
-    given = F.nullif(value, F.lit(""))
-    return F.max_by(given, F.when(given.isNotNull(), F.struct(F.length(stripped(given)), -order)))
+    length = F.when(visible_ends(value), F.length(value)).otherwise(F.length(stripped(value)))
+    return F.max_by(value, F.when(value != "", F.struct(length, -order)))
 
 
-def joined_lists(value: Column, order: Column) -> Column:
-    """Aggregate: the lists in their order, one after the other, each element where it comes first; a single list as it is."""
-    lists = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.alias("list")))))
-    every = F.flatten(F.transform(lists, lambda x: x["list"]))
-    return F.when(F.size(lists) == 1, every).when(F.size(every) > 0, F.array_distinct(every))
+def _alone(value: Column, kind: T.DataType) -> Column:
+    """What merging makes of a single value: empty strings are none."""
+    if isinstance(kind, T.StringType):
+        return F.nullif(value, F.lit(""))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_alone(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    return value
 
 
-def merged(value: Column, kind: T.DataType, order: Column) -> Column:
-    """Aggregate: the values of a type merged in their order."""
+def _together(values: Column, kind: T.DataType) -> Column:
+    """The values of an array merged in their order.
+
+    Of strings the one that is longest without the white space at its ends, the earlier of equals; of lists one after the
+    other with each element where it comes first, a single one as it is; of other values the first.
+    """
+    given = F.filter(values, lambda x: x.isNotNull())
     if isinstance(kind, T.StringType):
-        return longest(value, order)
+        sizes = F.transform(values, lambda x, i: F.when(x != "", F.struct(F.length(stripped(x)).alias("size"), (-i).alias("place"), x.alias("text"))))
+        return F.array_max(sizes)["text"]
     if isinstance(kind, T.ArrayType):
-        return joined_lists(value, order)
+        def joined(lists: Column) -> Column:
+            every = F.flatten(lists)
+            return F.when(F.size(lists) == 1, every).when(F.size(every) > 0, F.array_distinct(every))
+
+        return F.get(F.transform(F.array(given), joined), F.lit(0))
     if isinstance(kind, T.StructType):
-        fields = [merged(value[f.name], f.dataType, order) for f in kind]
-        return F.when(F.count(value) > 0, F.struct(*(c.alias(f.name) for c, f in zip(fields, kind, strict=True))))
-    return F.min_by(value, F.when(value.isNotNull(), order))
+        return F.when(F.size(given) > 0, F.struct(*(_together(values[f.name], f.dataType).alias(f.name) for f in kind)))
+    return F.get(given, F.lit(0))
+
+
+def _one_level(rows: DataFrame, keys: tuple[str, ...], item: str) -> DataFrame:
+    """keys, _at, item, first_seq, candidates: the records that share the keys merged by _at. Most are alone, and these are only handed on."""
+    kind = rows.schema[item].dataType
+    found = rows.groupBy(*keys).agg(F.min("_at").alias("_at"), F.min("first_seq").alias("first_seq"), F.sum("candidates").alias("candidates"), F.collect_list(F.struct("_at", F.col(item).alias("item"))).alias("_x"))
+    ordered = F.array_sort("_x", lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0))
+    found = found.withColumn("_x", F.when(F.size("_x") > 1, ordered).otherwise(F.col("_x"))["item"])
+    merged = F.when(F.size("_x") == 1, _alone(F.get("_x", F.lit(0)), kind)).otherwise(_together(F.col("_x"), kind))
+    return found.select(*keys, "_at", "first_seq", merged.alias(item), "candidates")
 
 
 def merge_records(rows: DataFrame, keys: tuple[str, ...], item: str = "item", order: str = "seq", width: int = 1000) -> DataFrame:
     """keys, first_seq, item, candidates: the records of each key merged by order, which is whole and unique within a key.
 
-    A list keeps its distinct elements, so a merged record is as long as what it says.
+    A row gathers the records of a range of width numbers, then what these make of a key. A list keeps its distinct elements,
+    so a merged record is as long as what it says.
     """
-    kind = rows.schema[item].dataType
-    parts = rows.withColumn("range", F.floor(F.col(order) / width)).groupBy(*keys, "range").agg(F.min(order).alias("first_seq"), F.count("*").alias("candidates"), merged(F.col(item), kind, F.col(order)).alias(item))
-    return parts.groupBy(*keys).agg(F.min("first_seq").alias("first_seq"), merged(F.col(item), kind, F.col("range")).alias(item), F.sum("candidates").alias("candidates"))
+    found = rows.select(*keys, F.floor(F.col(order) / width).alias("_range"), F.col(order).alias("_at"), F.col(order).alias("first_seq"), F.col(item), F.lit(1).cast("long").alias("candidates"))
+    return _one_level(_one_level(found, (*keys, "_range"), item), keys, item).select(*keys, "first_seq", item, "candidates")

@@ -96,8 +96,8 @@ def collect_candidates(results: DataFrame, slots: tuple[str, ...]) -> DataFrame:
     """doc_id, slot, seq (dense, from 1), item: the cleaned records of the slots that say something besides their id and evidence."""
     out = None
     for slot in slots:
-        kind = results.schema[slot].dataType.elementType
-        rows = results.select("doc_id", F.lit(slot).alias("slot"), "chunk_no", F.posexplode(slot).alias("pos", "item")).withColumn("item", merging.cleaned(F.col("item"), kind)).where(merging.says_something(F.col("item"), kind))
+        rows = results.select("doc_id", F.lit(slot).alias("slot"), "chunk_no", F.posexplode(slot).alias("pos", "item"))
+        rows = merging.cleaned_records(rows)
         out = rows if out is None else out.unionByName(rows)
     seq = F.row_number().over(Window.partitionBy("doc_id", "slot").orderBy("chunk_no", "pos"))
     return out.withColumn("seq", seq.cast("long")).select("doc_id", "slot", "seq", "item")
