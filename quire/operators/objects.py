@@ -167,37 +167,51 @@ def _grams(text: str, size: int, window: int, first: bool) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(grams, window).min(1)).view(np.int64)
 
 
-def _gram_column(size: int, window: int, first: bool):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def grams(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else _grams(t, size, window, first).tolist())
+#: n-grams by which spans find their elements (length, window): spans of fewer than length + window - 1 characters go to the next.
+GRAMS = ((8, 8), (3, 1), (1, 1))
+#: Spans of a document up to which its elements are compared with each of them: the work grows with the elements only.
+FEW = 64
 
-    return grams
 
+def _marked(text: str, level: int, first: bool) -> np.ndarray:
+    """The n-grams of a level, which is in their low bits."""
+    return _grams(text, *GRAMS[level], first) << 2 | level
 
-#: n-grams by which spans find their elements (length, window): spans of fewer than length + window - 1 characters go to the next.
-GRAMS = ((8, 8), (3, 1), (1, 1))
+
+@F.pandas_udf(T.LongType())
+def _span_gram(spans: pd.Series, levels: pd.Series) -> pd.Series:
+    return pd.Series([_marked(t, k, True)[0] for t, k in zip(spans, levels, strict=True)], dtype="int64")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _body_grams(bodies: pd.Series, levels: pd.Series) -> pd.Series:
+    """Of each text the n-grams of the levels that are asked for, a bit each."""
+    return pd.Series([np.concatenate([_marked(t, k, False) for k in range(len(GRAMS)) if asked >> k & 1]).tolist() for t, asked in zip(bodies, levels, strict=True)], dtype=object)
 
 
 def resolve_targets(evidence: DataFrame, elements: DataFrame) -> DataFrame:
     """doc_id, object_id, element_id, target: the element with the id, else the first whose text holds the span; else NULL.
 
-    Elements have ord. Texts are compared in lower case with single blanks. A span meets only the elements of its document
-    that have one of its n-grams, and of these those that hold it are kept. A span without a character finds nothing.
+    Elements have ord. Texts are compared in lower case with single blanks. The elements of a document with few spans are
+    compared with each of these; else a span meets only the elements that have one of its n-grams. A span without a character
+    finds nothing.
     """
     known = elements.select("doc_id", "element_id").distinct().withColumn("target", F.col("element_id"))
     rows = evidence.join(known, ["doc_id", "element_id"], "left")
-    loose = rows.where("target is null").select("doc_id", "object_id", "element_id", merging.plain(F.col("text_span")).alias("span")).where("span <> ''").distinct()
+    size = F.length("span")
+    level = reduce(lambda found, k: F.when(size >= sum(GRAMS[k]) - 1, k).otherwise(found), reversed(range(len(GRAMS) - 1)), F.lit(len(GRAMS) - 1))
+    loose = rows.where("target is null").select("doc_id", "object_id", "element_id", merging.plain(F.col("text_span")).alias("span")).where("span <> ''").withColumn("level", level)
     bodies = elements.select("doc_id", "ord", F.col("element_id").alias("held_by"), merging.plain(F.col("text")).alias("body"))
-    held, longer = None, None
-    for size, window in GRAMS:
-        fits = F.length("span") >= size + window - 1
-        spans = loose.where(fits if longer is None else fits & (F.length("span") < longer))
-        longer = size + window - 1
-        asked = spans.withColumn("gram", F.explode(_gram_column(size, window, True)("span")))
-        index = bodies.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("gram", F.explode(_gram_column(size, window, False)("body")))
-        found = asked.join(index, ["doc_id", "gram"]).where(F.contains("body", "span")).select("doc_id", "object_id", "element_id", "ord", "held_by")
-        held = found if held is None else held.union(found)
+    asked = loose.groupBy("doc_id").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1, level)")).alias("levels"))
+    few, many = asked.where(F.col("n") <= FEW).select("doc_id"), asked.where(F.col("n") > FEW)
+    compared = loose.join(few, "doc_id").join(bodies, "doc_id")
+    # Deterministic, they would go below the joins for a filter, and so over all rows.
+    span_gram, body_grams = _span_gram.asNondeterministic(), _body_grams.asNondeterministic()
+    spans = loose.join(many.select("doc_id"), "doc_id").distinct().withColumn("gram", span_gram("span", "level"))
+    index = bodies.join(many.select("doc_id", "levels"), "doc_id").withColumn("gram", F.explode_outer(body_grams("body", "levels")))
+    met = spans.join(index, ["doc_id", "gram"])
+    columns = ("doc_id", "object_id", "element_id", "ord", "held_by")
+    held = reduce(DataFrame.union, (found.where(F.contains("body", "span")).select(*columns) for found in (compared, met)))
     held = held.groupBy("doc_id", "object_id", "element_id").agg(F.min_by("held_by", "ord").alias("held_by"))
     return rows.join(held, ["doc_id", "object_id", "element_id"], "left").select("doc_id", "object_id", "element_id", F.coalesce("target", "held_by").alias("target"))
 
