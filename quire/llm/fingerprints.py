@@ -2,7 +2,7 @@
 
 For each of K samples a word of weight w draws r and c from Gamma(2, 1) and b uniformly, all from hashes of the word;
 t = floor(ln w / r + b), and the word with the least ln c - r (t - b) - r is the sample, together with t (Ioffe, Improved
-Consistent Sampling). Only DataFrame functions are used.
+Consistent Sampling). Spark finds and counts the words of each text; a task samples them by numpy.
 
 Words are lower-cased in A-Z and lie between spaces and the ASCII controls from tab to carriage return. Null texts count
 as empty; texts without words have the empty fingerprint, which is like itself (1.0) and unlike others (0.0). Null
@@ -12,8 +12,11 @@ gives an empty result. Columns beside doc_id and text are not read.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import WORD_BREAK, partitions, written
@@ -24,21 +27,63 @@ _BITS = 25
 _MARK = 20
 
 
-def _uniform(z: Column, shift: int) -> Column:
-    return (F.shiftrightunsigned(z, shift).bitwiseAND(F.lit((1 << _BITS) - 1)) + F.lit(0.5)) * F.lit(2.0**-_BITS)
+#: Words that a task samples at once, and their distinct weights at once: what they need stays in the cache.
+_ROWS, _VALUES = 1 << 16, 1 << 10
 
 
-def sample(term: str, log_weight: str, k: int) -> Column:
-    """A long that orders by the sample's value and carries a mark of (term, t) in its low bits."""
-    one, two = F.xxhash64(F.col(term), F.lit(k)), F.xxhash64(F.lit(k), F.col(term))
-    r = -F.log(_uniform(one, 0) * _uniform(one, 25))
-    c = -F.log(_uniform(two, 0) * _uniform(two, 25))
-    b = (F.shiftrightunsigned(one, 50).bitwiseAND(F.lit(16383)) * F.lit(16384) + F.shiftrightunsigned(two, 50).bitwiseAND(F.lit(16383)) + F.lit(0.5)) * F.lit(2.0**-28)
-    t = F.floor(F.col(log_weight) / r + b)
-    value = F.log(c) - r * (t - b) - r
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _gamma(h: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) from the low 50 bits of hashes."""
+    low, high = (((h >> np.uint64(k)) & np.uint64((1 << _BITS) - 1)).astype(np.float64) + 0.5 for k in (0, 25))
+    return -np.log(low * high * 2.0 ** (-2 * _BITS))
+
+
+def _values(terms: np.ndarray, counts: np.ndarray, samples: int) -> np.ndarray:
+    """Of each word and count and each sample a long that orders by the sample's value and carries a mark of (term, t) in its low bits."""
+    k = np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one, two = _mixed(_mixed(terms[:, None] ^ k[:samples]) + k[:samples]), _mixed(_mixed(terms[:, None] ^ k[samples:]) + k[samples:])
+    r, c = _gamma(one), _gamma(two)
+    b = ((one >> np.uint64(50)) * np.uint64(16384) + (two >> np.uint64(50))).astype(np.float64) * 2.0**-28 + 2.0**-29
+    t = np.floor(np.log(counts)[:, None] / r + b)
     # The value lies between -100 and 10: u and v have 25 bits each and a weight has less than 40.
-    place = F.floor((value + 200) * F.lit(2.0**32))
-    return F.shiftleft(place, _MARK).bitwiseOR(F.shiftrightunsigned(F.col(term), k % 40).bitwiseXOR(t).bitwiseAND(F.lit((1 << _MARK) - 1)))
+    place = np.floor((np.log(c) - r * (t - b) - r + 200) * 2.0**32).astype(np.int64)
+    mark = (terms[:, None] >> (np.arange(samples, dtype=np.uint64) % np.uint64(40))).view(np.int64) ^ t.astype(np.int64)
+    return place << _MARK | mark & ((1 << _MARK) - 1)
+
+
+def _least(terms: np.ndarray, counts: np.ndarray, starts: np.ndarray, samples: int) -> np.ndarray:
+    """The marks of the samples of texts, whose words start at starts; words that share term and count are sampled once in a block."""
+    out = np.full((len(starts), samples), np.iinfo(np.int64).max)
+    for low in range(0, len(terms), _ROWS):
+        high = min(low + _ROWS, len(terms))
+        distinct, of = np.unique(terms[low:high], return_inverse=True)
+        most = int(counts[low:high].max()) + 1
+        pairs, place = np.unique(of * most + counts[low:high], return_inverse=True)
+        found = np.concatenate([_values(distinct[p // most], p % most, samples) for p in np.split(pairs, range(_VALUES, len(pairs), _VALUES))])
+        # Texts of the block: the one that is open at its start, and those that start in it.
+        first, last = np.searchsorted(starts, low, "right") - 1, np.searchsorted(starts, high, "left")
+        for text in range(first, last):
+            rows = place[max(starts[text], low) - low : (min(starts[text + 1], high) if text + 1 < len(starts) else high) - low]
+            if len(rows):
+                out[text] = np.minimum(out[text], found[rows].min(0))
+    return (out & ((1 << _MARK) - 1)).astype(np.int32)
+
+
+def _sampled(samples: int):
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def sampled(words: pa.Array) -> pa.Array:
+        starts = words.offsets.to_numpy().astype(np.int64)
+        flat = words.values.slice(starts[0], starts[-1] - starts[0])
+        terms, counts = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("term", "n"))
+        sigs = _least(terms.view(np.uint64), counts, starts[:-1] - starts[0], samples)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * samples, pa.int32()), pa.array(sigs.ravel()))
+
+    return sampled
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
@@ -47,9 +92,8 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
     Where texts is already dealt out by some of the keys, no further shuffle takes place.
     """
     words = texts.select(*keys, F.explode(F.split(F.translate(text, _UPPER, _LOWER), WORD_BREAK)).alias("word")).where("word <> ''").select(*keys, F.xxhash64("word").alias("term"))
-    weighted = words.groupBy(*keys, "term").agg(F.log(F.count("*")).alias("log_weight"))
-    least = weighted.groupBy(*keys).agg(*(F.min(sample("term", "log_weight", k)).alias(f"s{k}") for k in range(samples)))
-    return least.select(*keys, F.array(*(F.col(f"s{k}").bitwiseAND(F.lit((1 << _MARK) - 1)).cast("int") for k in range(samples))).alias("sig"))
+    weighted = words.groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    return weighted.groupBy(*keys).agg(F.collect_list(F.struct("term", "n")).alias("words")).select(*keys, _sampled(samples)("words").alias("sig"))
 
 
 def fingerprint(sig: Column) -> Column:
