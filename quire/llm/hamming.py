@@ -1,6 +1,7 @@
 """Exact top-k search over binary codes by multi-index hashing with growing segment radii.
 
-A code of 64 bits is cut into m segments, of about as many bits as the number of codes has. At radius r a query probes
+A code of 64 bits is cut into m segments, of at most as many bits as the number of codes has, so that a value has a code or
+more and few values without a code are probed. At radius r a query probes
 every segment value at Hamming distance r from its own; after that all codes nearer than m (r + 1) are found. A query is
 done when its k-th verified distance is below that, and only the others go on, with that distance as the bound of all
 they still look for and of how many segments the last radius takes. Where a radius has more values to probe than a share of all codes, the queries that are left are
@@ -51,7 +52,7 @@ def codes(table: DataFrame, id_column: str, vector: str, seed: int = 7) -> DataF
 
 def segments_for(n: int) -> list[tuple[int, int]]:
     """First bit and width of each segment of 64 bits, for n codes."""
-    m = min(8, max(2, round(64 / math.log2(n + 2))))
+    m = min(8, max(2, math.ceil(64 / math.log2(n + 2))))
     cuts = [64 * k // m for k in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
