@@ -1,6 +1,7 @@
 """The lines of orders are dealt to tasks before they are gathered, to more tasks where there are more orders."""
 
 from quire.sources import tables
+from quire.structure_queries import REGISTRY
 
 
 def _plan(df):
@@ -22,3 +23,5 @@ def test_lines_are_gathered_only_where_they_are_dealt(spark, monkeypatch):
     # A plan's lines go from its result to what it reads.
     assert deals and max(gathers) < min(deals)
     assert str(n) in plan[deals[0]]
+    for query in ("section_paths", "grouped_units"):
+        assert f", {n}), REPARTITION_BY_NUM" in _plan(REGISTRY[query][0](spark, sf)).split("Window")[-1].split("Exchange")[1]
