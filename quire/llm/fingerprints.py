@@ -2,7 +2,8 @@
 
 For each of K samples a word of weight w draws r and c from Gamma(2, 1) and b uniformly, all from hashes of the word;
 t = floor(ln w / r + b), and the word with the least ln c - r (t - b) - r is the sample, together with t (Ioffe, Improved
-Consistent Sampling). Spark finds and counts the words of each text; a task samples them by numpy.
+Consistent Sampling). Only DataFrame functions are used; the numpy functions are the same by plain steps, for comparison.
+Most words of most texts are a few words with a small count: their samples are made once and joined, the rest as they come.
 
 Words are lower-cased in A-Z and lie between spaces and the ASCII controls from tab to carriage return. Null texts count
 as empty; texts without words have the empty fingerprint, which is like itself (1.0) and unlike others (0.0). Null
@@ -13,10 +14,8 @@ gives an empty result. Columns beside doc_id and text are not read.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import WORD_BREAK, partitions, written
@@ -26,31 +25,90 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BITS = 25
 _MARK = 20
 
+#: Words with a count whose samples are made once, and documents, about, in which the most frequent are looked for.
+KNOWN, LOOKED_AT = 1 << 15, 5_000
 
-#: Words that a task samples at once, and their distinct weights at once: what they need stays in the cache.
+
+def _uniform(z: Column, shift: int) -> Column:
+    return (F.shiftrightunsigned(z, shift).bitwiseAND(F.lit((1 << _BITS) - 1)) + F.lit(0.5)) * F.lit(2.0**-_BITS)
+
+
+def sample(term: str, n: str, k: int) -> Column:
+    """A long that orders by the sample's value and carries a mark of (term, t) in its low bits."""
+    one, two = F.xxhash64(F.col(term), F.lit(k)), F.xxhash64(F.lit(k), F.col(term))
+    r = -F.log(_uniform(one, 0) * _uniform(one, 25))
+    c = -F.log(_uniform(two, 0) * _uniform(two, 25))
+    b = (F.shiftrightunsigned(one, 50).bitwiseAND(F.lit(16383)) * F.lit(16384) + F.shiftrightunsigned(two, 50).bitwiseAND(F.lit(16383)) + F.lit(0.5)) * F.lit(2.0**-28)
+    t = F.floor(F.log(F.col(n)) / r + b)
+    low = F.lit((1 << _MARK) - 1)
+
+    def placed(value: Column, mark: Column) -> Column:
+        # The value lies between -100 and 10: u and v have 25 bits each and a weight has less than 40.
+        return F.shiftleft(F.floor((value + 200) * F.lit(2.0**32)), _MARK).bitwiseOR(mark.bitwiseAND(low))
+
+    own = F.shiftrightunsigned(F.col(term), k % 40)
+    # Of a word that is there once, t is 0.
+    return F.when(F.col(n) == 1, placed(F.log(c) - r * (0 - b) - r, own)).otherwise(placed(F.log(c) - r * (t - b) - r, own.bitwiseXOR(t)))
+
+
+def counted(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, term (a word's hash) and n of every word of every text."""
+    words = texts.select(*keys, F.explode(F.split(F.translate(text, _UPPER, _LOWER), WORD_BREAK)).alias("word")).where("word <> ''").select(*keys, F.xxhash64("word").alias("term"))
+    return words.groupBy(*keys, "term").agg(F.count("*").alias("n"))
+
+
+def known_samples(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """term, n and known (their samples) of words and counts that are frequent in some documents; which ones has no influence on any result."""
+    some = docs.sample(min(1.0, LOOKED_AT / max(docs.count(), 1)), 7).select(F.monotonically_increasing_id().alias("k"), "text")
+    often = counted(some, ["k"], "text").groupBy("term", "n").agg(F.count("*").alias("times")).where("times > 1").orderBy(F.desc("times")).limit(KNOWN)
+    return often.groupBy("term", "n").agg(F.array(*(F.min(sample("term", "n", k)) for k in range(samples))).alias("known"))
+
+
+def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, known: DataFrame | None = None) -> DataFrame:
+    """keys and sig (array of samples) of every text with words; rows with equal keys are one text. known is by known_samples.
+
+    Where texts is already dealt out by some of the keys, no further shuffle takes place.
+    """
+    weighted, of = counted(texts, keys, text), [sample("term", "n", k) for k in range(samples)]
+    if known is not None:
+        weighted = weighted.join(F.broadcast(known), ["term", "n"], "left")
+        of = [F.coalesce(F.get("known", F.lit(k)), own) for k, own in enumerate(of)]
+    least = weighted.groupBy(*keys).agg(*(F.min(own).alias(f"s{k}") for k, own in enumerate(of)))
+    return least.select(*keys, F.array(*(F.col(f"s{k}").bitwiseAND(F.lit((1 << _MARK) - 1)).cast("int") for k in range(samples))).alias("sig"))
+
+
+#: Words that the plain sampler takes at once, and their distinct weights at once.
 _ROWS, _VALUES = 1 << 16, 1 << 10
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+
+def _xxhash(x: np.ndarray, seed: np.ndarray, size: int) -> np.ndarray:
+    """Spark's xxhash64 of ints (size 4) and longs (size 8) after a seed."""
+    one, two, three, four, five = _PRIMES
+    h = seed + five + np.uint64(size)
+    h = _turned(h ^ x * one, 23) * two + three if size == 4 else _turned(h ^ _turned(x * two, 31) * one, 27) * one + four
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return h ^ h >> np.uint64(32)
 
 
 def _gamma(h: np.ndarray) -> np.ndarray:
     """Gamma(2, 1) from the low 50 bits of hashes."""
-    low, high = (((h >> np.uint64(k)) & np.uint64((1 << _BITS) - 1)).astype(np.float64) + 0.5 for k in (0, 25))
-    return -np.log(low * high * 2.0 ** (-2 * _BITS))
+    low, high = ((((h >> np.uint64(k)) & np.uint64((1 << _BITS) - 1)).astype(np.float64) + 0.5) * 2.0**-_BITS for k in (0, 25))
+    return -np.log(low * high)
 
 
 def _values(terms: np.ndarray, counts: np.ndarray, samples: int) -> np.ndarray:
-    """Of each word and count and each sample a long that orders by the sample's value and carries a mark of (term, t) in its low bits."""
-    k = np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    one, two = _mixed(_mixed(terms[:, None] ^ k[:samples]) + k[:samples]), _mixed(_mixed(terms[:, None] ^ k[samples:]) + k[samples:])
+    """sample of each word and count, by numpy."""
+    k, seed = np.arange(samples, dtype=np.uint64), np.full((1, 1), 42, np.uint64)
+    one, two = _xxhash(k, _xxhash(terms[:, None], seed, 8), 4), _xxhash(terms[:, None], _xxhash(k, seed, 4), 8)
     r, c = _gamma(one), _gamma(two)
-    b = ((one >> np.uint64(50)) * np.uint64(16384) + (two >> np.uint64(50))).astype(np.float64) * 2.0**-28 + 2.0**-29
+    b = (((one >> np.uint64(50)) & np.uint64(16383)) * np.uint64(16384) + ((two >> np.uint64(50)) & np.uint64(16383)) + 0.5) * 2.0**-28
     t = np.floor(np.log(counts)[:, None] / r + b)
-    # The value lies between -100 and 10: u and v have 25 bits each and a weight has less than 40.
     place = np.floor((np.log(c) - r * (t - b) - r + 200) * 2.0**32).astype(np.int64)
     mark = (terms[:, None] >> (np.arange(samples, dtype=np.uint64) % np.uint64(40))).view(np.int64) ^ t.astype(np.int64)
     return place << _MARK | mark & ((1 << _MARK) - 1)
@@ -74,28 +132,6 @@ def _least(terms: np.ndarray, counts: np.ndarray, starts: np.ndarray, samples: i
     return (out & ((1 << _MARK) - 1)).astype(np.int32)
 
 
-def _sampled(samples: int):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def sampled(words: pa.Array) -> pa.Array:
-        starts = words.offsets.to_numpy().astype(np.int64)
-        flat = words.values.slice(starts[0], starts[-1] - starts[0])
-        terms, counts = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("term", "n"))
-        sigs = _least(terms.view(np.uint64), counts, starts[:-1] - starts[0], samples)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * samples, pa.int32()), pa.array(sigs.ravel()))
-
-    return sampled
-
-
-def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """keys and sig (array of samples) of every text with words; rows with equal keys are one text.
-
-    Where texts is already dealt out by some of the keys, no further shuffle takes place.
-    """
-    words = texts.select(*keys, F.explode(F.split(F.translate(text, _UPPER, _LOWER), WORD_BREAK)).alias("word")).where("word <> ''").select(*keys, F.xxhash64("word").alias("term"))
-    weighted = words.groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    return weighted.groupBy(*keys).agg(F.collect_list(F.struct("term", "n")).alias("words")).select(*keys, _sampled(samples)("words").alias("sig"))
-
-
 def fingerprint(sig: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 5, "0")), ""), F.lit(""))
 
@@ -145,7 +181,7 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         sides, keys = sides.dropDuplicates(["bucket", "id", "side", "text_h"]), ["text_h"]
     else:
         keys = []
-    sigs = written(signatures(sides, ["bucket", "id", "side", *keys], "body", samples), "signatures")
+    sigs = written(signatures(sides, ["bucket", "id", "side", *keys], "body", samples, known_samples(docs, samples)), "signatures")
     renamed = lambda name: [F.col(k).alias(name) for k in keys]
     own = sigs.where("side = 0").select("bucket", "id", *renamed("h"), "sig")
     edited = sigs.where("side = 1").select("bucket", "id", *renamed("edited_h"), F.col("sig").alias("edited_sig"))
