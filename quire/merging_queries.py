@@ -6,15 +6,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .operators import merging, objects
-from .sources.tables import table
+from .sources.tables import table, tasks_for_lines
 
 _PAD = "　          "
 
 
-def _candidates(spark, sf):
-    """Names are padded, of another case, blank or missing; types, ids, texts and lists are missing here and there."""
+def _candidates(spark, sf, by_order=False):
+    """Names are padded, of another case, blank or missing; types, ids, texts and lists are missing here and there.
+
+    by_order: records are to be merged. Where the parts are too many to be sent to every task, lines are dealt by their order
+    once more after they have met them, so that records, which are many times as large, are made and merged in one place.
+    """
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    t = table(spark, sf, "lineitem").withColumn("seq", n.cast("long")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    tasks = tasks_for_lines(spark, sf)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").repartition(tasks, "l_orderkey").withColumn("seq", n.cast("long")).drop("l_suppkey")
+    t = lines.join(table(spark, sf, "part").drop("p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+    t = t.repartition(tasks, "l_orderkey") if by_order else t
     q, brand = F.col("l_quantity").cast("long"), F.col("p_brand")
     name = F.when(q % 5 == 0, F.lit(None)).when(q % 5 == 1, "\t　").when(q % 5 == 2, F.concat(F.lit(_PAD), F.upper(brand), F.lit("　\n"))).when(q % 5 == 3, F.concat(F.lit("x　\n y "), brand)).otherwise(F.concat(F.lit("X Y "), brand))
     text = F.when(q % 4 == 0, "").when(q % 4 == 1, F.concat(F.substring("p_name", 1, 5), F.lit(_PAD))).otherwise(F.col("p_name"))
@@ -30,7 +37,7 @@ def _candidates(spark, sf):
 
 
 def _merged(spark, sf):
-    found = merging.merge_records(_candidates(spark, sf), ("doc_id", "slot", "object_key"), width=3)
+    found = merging.merge_records(_candidates(spark, sf, by_order=True), ("doc_id", "slot", "object_key"), width=3)
     notes = F.array_join(F.transform("item.detail.notes", lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
     return found.select("doc_id", "slot", "object_key", "first_seq", "candidates", "item.id", "item.name", "item.item_type", "item.description", F.array_join("item.tags", ",").alias("tags"), F.col("item.detail.unit").alias("unit"), notes.alias("notes"), F.coalesce("item.size", F.lit(-1)).alias("size"), F.array_join("item.evidence_element_ids", ",").alias("evidence"))
 
